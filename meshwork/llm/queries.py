@@ -1,0 +1,36 @@
+"""The registered queries of this subpackage and the SQL that says the same, where SQL can."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshwork.llm import sql
+from meshwork.llm.common import table
+from meshwork.llm.exact_dedup import exact_dedup
+from meshwork.llm.line_dedup import line_dedup
+from meshwork.llm.toxicity import toxicity
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    named = (op5_line_dedup, op9_exact_dedup, op10_toxicity)
+    return {f.__name__: f for f in named}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op5_line_dedup": sql.LINE_DEDUP, "op9_exact_dedup": sql.EXACT_DEDUP}

@@ -114,3 +114,16 @@ def components(links: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame
     else:
         raise RuntimeError("the components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct()
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """rows left join groups by key, where groups[size] tells how many of the rows a key has.
+
+    At most HOT_PARTS keys can have more than 1 / HOT_PARTS of all rows each, so those groups, and no others, are
+    broadcast: a bound that does not depend on the input. All other keys are shuffled and are small.
+    """
+    total = rows.count()
+    is_hot = F.col(size) * HOT_PARTS > total
+    hot = F.broadcast(groups.where(is_hot))
+    cold = rows.join(hot, key, "left_anti").join(groups.where(~is_hot), key, "left")
+    return rows.join(hot, key).unionByName(cold)

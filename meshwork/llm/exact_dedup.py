@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import HOT_PARTS, WHITE, Workspace, raw
+from meshwork.llm.common import WHITE, Workspace, join_groups, raw
 
 #: Runs that meet at a slot in one round.
 FAN = 4
@@ -106,15 +106,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = work or Workspace(spark, "exact")
     digests = work.put("digests", docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_digests, ROW_TYPES))
     groups = work.put("groups", merged_runs(digests, int(spark.conf.get("spark.sql.shuffle.partitions"))).select("digest", "proof", F.col("row").alias("keep_row"), F.col("doc_id").alias("keep_id"), F.col("size").alias("group_size")))
-    rows = groups.agg(F.sum("group_size")).first()[0] or 0
-    # at most HOT_PARTS groups hold more than 1 / HOT_PARTS of the rows each, so this side has a fixed bound
-    hot = F.broadcast(groups.where(F.col("group_size") * HOT_PARTS > rows))
-    warm = groups.where((F.col("group_size") > 1) & (F.col("group_size") * HOT_PARTS <= rows))
-    key = ["digest", "proof"]
-    of_hot = digests.join(hot, key)
-    rest = digests.join(hot, key, "left_anti").join(warm, key, "left")
+    done = join_groups(digests, groups.where("group_size > 1"), ["digest", "proof"], "group_size")
     mine = F.col("group_size").isNull()
-    return of_hot.unionByName(rest).select(
+    return done.select(
         "doc_id",
         F.when(mine, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from meshwork.llm import sql
 from meshwork.llm.common import table
 from meshwork.llm.exact_dedup import exact_dedup
+from meshwork.llm.jaccard_join import jaccard_components
 from meshwork.llm.line_dedup import line_dedup
 from meshwork.llm.toxicity import toxicity
 
@@ -19,6 +20,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -28,9 +33,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op5_line_dedup, op9_exact_dedup, op10_toxicity)
+    named = (op5_line_dedup, op8_jaccard_join, op9_exact_dedup, op10_toxicity)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": sql.LINE_DEDUP, "op9_exact_dedup": sql.EXACT_DEDUP}
+    return {"op5_line_dedup": sql.LINE_DEDUP, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_exact_dedup": sql.EXACT_DEDUP}

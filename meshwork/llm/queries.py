@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from meshwork.llm import sql
 from meshwork.llm.common import table
+from meshwork.llm.decontamination import contaminated
 from meshwork.llm.exact_dedup import exact_dedup
 from meshwork.llm.jaccard_join import jaccard_components
 from meshwork.llm.line_dedup import line_dedup
+from meshwork.llm.mixing import mixing_rates
 from meshwork.llm.toxicity import toxicity
 
 
@@ -20,6 +22,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+#: Shares of the tokens that each domain, a language with a quality, is to have.
+MIX_TARGETS = {"en_q1": 0.56, "en_q0": 0.04, "de_q1": 0.14, "de_q0": 0.01, "es_q1": 0.10, "es_q0": 0.01, "fr_q1": 0.13, "fr_q0": 0.01}
+
+
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled documents: language and quality, like en_q1."""
+    return docs.select("doc_id", "lang").join(labels.select("doc_id", "quality"), "doc_id").select("doc_id", F.concat("lang", F.lit("_q"), F.col("quality").cast("string")).alias("domain"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing_rates(docs, domain_labels(docs, table(spark, sf_dir, "labels")), MIX_TARGETS).drop("sig")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -33,9 +53,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op5_line_dedup, op8_jaccard_join, op9_exact_dedup, op10_toxicity)
+    named = (op5_line_dedup, op6_decontamination, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_toxicity)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": sql.LINE_DEDUP, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_exact_dedup": sql.EXACT_DEDUP}
+    return {"op5_line_dedup": sql.LINE_DEDUP, "op6_decontamination": sql.DECONTAMINATION, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_exact_dedup": sql.EXACT_DEDUP}

@@ -55,3 +55,23 @@ SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id
 FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id)
 GROUP BY d.doc_id
 """
+
+DECONTAMINATION = """
+WITH texts AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+),
+words AS (
+  SELECT kind, id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM texts
+),
+shingles AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM words)
+),
+sizes AS (SELECT id, count(*) AS n_item FROM shingles WHERE kind = 'b' GROUP BY id),
+shared AS (
+  SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared
+  FROM shingles d JOIN shingles b ON d.s = b.s WHERE d.kind = 'd' AND b.kind = 'b' GROUP BY 1, 2
+)
+SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM shared JOIN sizes ON id = item_id WHERE n_shared * 100 >= n_item * 80
+"""

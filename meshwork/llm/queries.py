@@ -8,13 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwork.llm import sql
+from meshwork.llm.chat import digests, format_chats
 from meshwork.llm.common import table
 from meshwork.llm.decontamination import contaminated
 from meshwork.llm.exact_dedup import exact_dedup
+from meshwork.llm.html_text import extract_html
 from meshwork.llm.jaccard_join import jaccard_components
+from meshwork.llm.license_scan import license_scan
 from meshwork.llm.line_dedup import line_dedup
 from meshwork.llm.mixing import mixing_rates
 from meshwork.llm.toxicity import toxicity
+from meshwork.llm.url_filter import url_filter
+
+
+def document_paths(docs: DataFrame) -> DataFrame:
+    """documents as files: source/lang/number/name, where short texts that speak of a licence are named as its file."""
+    short = (F.size(F.split(F.coalesce("text", F.lit("")), "\n")) <= 2) & F.coalesce(F.col("text").rlike("(?i)licen[cs]e"), F.lit(False))
+    name = F.concat(F.when(short, "LICENSE-").otherwise("text-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return docs.select("doc_id", F.concat_ws("/", "source", "lang", F.pmod(F.col("doc_id"), F.lit(64)).cast("string"), name).alias("path"), "text")
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(document_paths(table(spark, sf_dir, "documents")), "doc_id").withColumnRenamed("file", "doc_id")
+
+
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_html(table(spark, sf_dir, "pages"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return digests(format_chats(rows)).drop("n_tokens", "n_loss_tokens")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +83,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op5_line_dedup, op6_decontamination, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_toxicity)
+    named = (op1_license_scan, op2_html_text, op3_url_filter, op4_chat_format, op5_line_dedup, op6_decontamination, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_toxicity)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": sql.LINE_DEDUP, "op6_decontamination": sql.DECONTAMINATION, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_exact_dedup": sql.EXACT_DEDUP}
+    return {"op3_url_filter": sql.URL_FILTER, "op4_chat_format": sql.CHAT_FORMAT, "op5_line_dedup": sql.LINE_DEDUP, "op6_decontamination": sql.DECONTAMINATION, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_exact_dedup": sql.EXACT_DEDUP}

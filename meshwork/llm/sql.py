@@ -75,3 +75,68 @@ shared AS (
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM shared JOIN sizes ON id = item_id WHERE n_shared * 100 >= n_item * 80
 """
+
+
+def _rounds(name: str, edges: str, seeds: str, rounds: int = 10) -> str:
+    """CTEs of a personalised PageRank, one for each round."""
+    out = [f"{name}_shares AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM ({edges}))", f"{name}0 AS MATERIALIZED ({seeds})"]
+    for i in range(rounds):
+        out += [
+            f"{name}_sent{i} AS MATERIALIZED (SELECT dst AS host, 0.85 * sum(mass * share) AS mass FROM {name}{i} JOIN {name}_shares ON host = src GROUP BY 1)",
+            f"{name}{i + 1} AS MATERIALIZED (SELECT host, sum(mass) AS mass FROM (SELECT * FROM {name}_sent{i} UNION ALL SELECT host, mass * (1 - (SELECT coalesce(sum(mass), 0) FROM {name}_sent{i})) FROM {name}0) GROUP BY 1)",
+        ]
+    return ",\n".join(out)
+
+
+_URL = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
+_HREF = r"""'(?i)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)'"""
+
+URL_FILTER = f"""
+WITH rules(rule_host, rule_path, rule, rule_verdict) AS (
+  VALUES ('com', '/en/', 'com/en/', 'block'), ('example.com', '/en/7', 'example.com/en/7', 'allow'), ('net', '/de/', 'net/de/', 'block'),
+    ('example.net', '/de/8', 'example.net/de/8', 'allow'), ('org', '/es/', 'org/es/', 'block')
+),
+seen AS (
+  SELECT page_id, html, translate(coalesce(regexp_extract(url, {_URL}, 1), ''), {UPPER}, {LOWER}) AS host, coalesce(regexp_extract(url, {_URL}, 2), '') AS path
+  FROM pages
+),
+judged AS MATERIALIZED (
+  SELECT page_id, html, host, path, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict
+  FROM seen LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id, html, host, path
+),
+links AS (SELECT host AS src, unnest(regexp_extract_all(html, {_HREF}, 1)) AS href FROM judged),
+edges AS MATERIALIZED (
+  SELECT src, dst, count(*) AS w
+  FROM (SELECT src, translate(coalesce(regexp_extract(CASE WHEN starts_with(href, '//') THEN 'x:' || href ELSE href END, {_URL}, 1), ''), {UPPER}, {LOWER}) AS dst FROM links)
+  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2
+),
+{_rounds("trust", "SELECT src, dst, w FROM edges", "SELECT host, count(*) / sum(count(*)) OVER () AS mass FROM judged WHERE rule_verdict = 'allow' GROUP BY host")},
+{_rounds("distrust", "SELECT dst AS src, src AS dst, w FROM edges", "SELECT host, count(*) / sum(count(*)) OVER () AS mass FROM judged WHERE rule_verdict = 'block' GROUP BY host")},
+bad AS (
+  SELECT host FROM distrust10 d LEFT JOIN trust10 t USING (host) WHERE d.mass > 0.5 * (coalesce(t.mass, 0) + d.mass)
+)
+SELECT page_id, j.host, path, rule, coalesce(rule_verdict, CASE WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM judged j LEFT JOIN bad USING (host)
+"""
+
+_CONTROL = r"([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|s>|/s>|unk>|INST\]|/INST\]|<SYS>>|</SYS>>)"
+
+
+def _escaped_length(text: str) -> str:
+    return f"length(regexp_replace({text}, '{_CONTROL}', '\\1\\\\\\2\\3', 'g'))"
+
+
+CHAT_FORMAT = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+),
+grouped AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+    CAST(sum({_escaped_length("role")} + {_escaped_length("text")} + length('<|im_start|><|im_sep|><|im_end|>')) AS BIGINT) AS formatted_chars
+  FROM rows GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM grouped
+"""

@@ -1,11 +1,265 @@
-"""All registered queries of the graph engine, by name."""
+"""All registered queries of the graph engine, by name; each takes (spark, sf_dir)."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from meshwork import sql
+from meshwork.operators import coarsening, communities, layout
+from meshwork.operators import graph as G
+from meshwork.operators.ranks import dense_ids
+from meshwork.plans.louvain import louvain
+from meshwork.sources.matrix_market import read_mtx, write_mtx
+from meshwork.sources.projections import projection, table
+from meshwork.sources.random_graph import random_graph
+from meshwork.workspace import Workspace
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+#: A general file with entries above, on and below the diagonal.
+GENERAL = "%%MatrixMarket matrix coordinate real general\n% comment\n4 4 6\n1 1 5.0\n2 1 1.5\n1 2 9.0\n3 1 2.0\n4 3 0.5\n2 4 7.0\n"
+TRIANGLES = [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (2, 3)]
+
+
+def edges_symmetric(spark: SparkSession, d: str) -> DataFrame:
+    return projection(spark, d, "ps").edges
+
+
+def edges_lower_triangle(spark: SparkSession, d: str) -> DataFrame:
+    return G.lower_triangle(projection(spark, d, "nt").edges)
+
+
+def graph_summary(spark: SparkSession, d: str) -> DataFrame:
+    return G.summary(projection(spark, d, "po"))
+
+
+def total_mass(spark: SparkSession, d: str) -> DataFrame:
+    return projection(spark, d, "po").edges.agg(F.sum("w").alias("mass"))
+
+
+def vertex_weight(spark: SparkSession, d: str) -> DataFrame:
+    return G.vertex_weight(projection(spark, d, "po"))
+
+
+def csr_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return G.csr_offsets(projection(spark, d, "po"))
+
+
+def degree_bins_move(spark: SparkSession, d: str) -> DataFrame:
+    return layout.degree_bins(G.degrees(projection(spark, d, "po")), "move")
+
+
+def degree_bins_symbolic(spark: SparkSession, d: str) -> DataFrame:
+    graph, state = _swept(spark, d, "po")
+    return layout.degree_bins(coarsening.community_degree_bound(graph.edges, state), "symbolic")
+
+
+def degree_bins_numeric(spark: SparkSession, d: str) -> DataFrame:
+    graph, state = _swept(spark, d, "ps")
+    return layout.degree_bins(coarsening.community_degree_exact(graph.edges, state), "numeric")
+
+
+def edge_partition_4(spark: SparkSession, d: str) -> DataFrame:
+    return layout.edge_partition(projection(spark, d, "ps"), 4)
+
+
+def locate_vertex(spark: SparkSession, d: str) -> DataFrame:
+    return layout.locate(projection(spark, d, "ps"), 4)
+
+
+def _quality(graph: G.Graph, state: DataFrame) -> DataFrame:
+    """(inside, squares, mass, q) of a state, as one row."""
+    inside, square = communities.modularity_parts(graph.edges, state)
+    total = G.mass(graph.edges)
+    row = [(int(inside), int(square), int(total), round(communities.quality(inside, square, total), 9))]
+    return graph.edges.sparkSession.createDataFrame(row, "inside long, squares long, mass long, q double")
+
+
+def modularity_singleton(spark: SparkSession, d: str) -> DataFrame:
+    graph = projection(spark, d, "po")
+    return _quality(graph, communities.initial_state(graph))
+
+
+def _regions(spark: SparkSession, d: str) -> tuple[G.Graph, DataFrame]:
+    """The nations' graph, with the smallest nation of each region as its community."""
+    graph = projection(spark, d, "nt")
+    nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("v"), "n_regionkey")
+    first = nation.groupBy("n_regionkey").agg(F.min("v").alias("com"))
+    return graph, communities.with_labels(graph, nation.join(first, "n_regionkey").select("v", "com"))
+
+
+def modularity_labels(spark: SparkSession, d: str) -> DataFrame:
+    return _quality(*_regions(spark, d))
+
+
+def neighbor_community_weight(spark: SparkSession, d: str) -> DataFrame:
+    graph, state = _regions(spark, d)
+    return communities.neighbor_weights(graph.edges, state).select("v", "dc", "e")
+
+
+def internal_weight(spark: SparkSession, d: str) -> DataFrame:
+    graph, state = _regions(spark, d)
+    return communities.internal_weight(communities.neighbor_weights(graph.edges, state))
+
+
+def move_candidates(spark: SparkSession, d: str) -> DataFrame:
+    graph, state = _regions(spark, d)
+    return communities.candidates(communities.neighbor_weights(graph.edges, state), communities.community_weight(state), G.mass(graph.edges))
+
+
+def _sweep(graph: G.Graph, state: DataFrame, rule: str, up: bool) -> DataFrame:
+    near = communities.neighbor_weights(graph.edges, state)
+    return communities.best_move(near, state, communities.community_weight(state), G.mass(graph.edges), rule, up)
+
+
+def _best_move(rule: str, up: bool) -> Query:
+    """Moves of the nations from their regions' communities."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        graph, state = _regions(spark, d)
+        return _sweep(graph, state, rule, up).select("v", "com")
+
+    return query
+
+
+def _best_move_start(rule: str, up: bool) -> Query:
+    """Moves of parts and orders from communities of their own."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        graph = projection(spark, d, "po")
+        return _sweep(graph, communities.initial_state(graph), rule, up).select("v", "com")
+
+    return query
+
+
+def _swept(spark: SparkSession, d: str, name: str) -> tuple[G.Graph, DataFrame]:
+    """A graph and its state after one sweep up by rule local, both written once."""
+    work = Workspace(spark, "swept")
+    graph = projection(spark, d, name)
+    graph = G.Graph(work.put("edges", graph.edges), work.put("vertices", graph.vertices))
+    return graph, work.put("state", _sweep(graph, communities.initial_state(graph), "local", True))
+
+
+def community_weight_direct(spark: SparkSession, d: str) -> DataFrame:
+    return communities.community_weight(_swept(spark, d, "po")[1])
+
+
+def community_weight_delta(spark: SparkSession, d: str) -> DataFrame:
+    graph, state = _swept(spark, d, "po")
+    start = communities.initial_state(graph)
+    return communities.community_weight_delta(communities.community_weight(start), start, state)
+
+
+def renumber_communities(spark: SparkSession, d: str) -> DataFrame:
+    return coarsening.renumber(_swept(spark, d, "po")[1])
+
+
+def community_size(spark: SparkSession, d: str) -> DataFrame:
+    return coarsening.community_size(_swept(spark, d, "po")[1])
+
+
+def community_degree_bound(spark: SparkSession, d: str) -> DataFrame:
+    graph, state = _swept(spark, d, "po")
+    return coarsening.community_degree_bound(graph.edges, state)
+
+
+def community_degree_exact(spark: SparkSession, d: str) -> DataFrame:
+    graph, state = _swept(spark, d, "po")
+    return coarsening.community_degree_exact(graph.edges, state)
+
+
+def reorder_vertices(spark: SparkSession, d: str) -> DataFrame:
+    return coarsening.reorder(_swept(spark, d, "po")[1])
+
+
+def even_partition(spark: SparkSession, d: str) -> DataFrame:
+    return layout.even_partition(_swept(spark, d, "po")[1], "com", 4)
+
+
+def coarse_edges(spark: SparkSession, d: str) -> DataFrame:
+    return coarsening.coarsen(*_swept(spark, d, "po"))[0].edges
+
+
+def coarse_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Mass and modularity before and after contraction."""
+    graph, state = _swept(spark, d, "po")
+    coarse, _ = coarsening.coarsen(graph, state)
+    before, after = _quality(graph, state), _quality(coarse, communities.initial_state(coarse))
+    return before.select(F.lit("fine").alias("graph"), "*").union(after.select(F.lit("coarse"), "*"))
+
+
+def sweep_trace_k3(spark: SparkSession, d: str) -> DataFrame:
+    """The users' graph through three sweeps in alternating direction: (loop, inside, squares, mass, q)."""
+    work = Workspace(spark, "sweeps")
+    graph = projection(spark, d, "uc")
+    graph = G.Graph(work.put("edges", graph.edges), work.put("vertices", graph.vertices))
+    state, rows = communities.initial_state(graph), []
+    for i in range(3):
+        state = work.put(f"state{i}", _sweep(graph, state, "local", i % 2 == 0))
+        rows.append(_quality(graph, state).select(F.lit(i + 1).alias("loop"), "*"))
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+def _run(name: str, rule: str) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return louvain(projection(spark, d, name), rule).membership
+
+    return query
+
+
+def louvain_levels_ps(spark: SparkSession, d: str) -> DataFrame:
+    return louvain(projection(spark, d, "ps")).levels_frame()
+
+
+def louvain_two_triangles(spark: SparkSession, d: str) -> DataFrame:
+    pairs = spark.createDataFrame([(a, b, 1) for a, b in TRIANGLES], "a long, b long, w long")
+    return louvain(G.from_edges(pairs)).membership
+
+
+def mtx_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a general file written and read again."""
+    work = Workspace(spark, "mtx")
+    lines = [(line,) for line in GENERAL.splitlines()]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.text(work.at("general"))
+    graph = read_mtx(spark, work.at("general"))
+    write_mtx(graph.edges, work.at("again"), 4)
+    return read_mtx(spark, work.at("again")).edges
+
+
+def mtx_export_ps(spark: SparkSession, d: str) -> DataFrame:
+    """The part-supplier graph, ids made dense, written as a general file and read again."""
+    work = Workspace(spark, "mtx")
+    graph = projection(spark, d, "ps")
+    ids = work.put("ids", dense_ids(graph.vertices, "v"))
+    labels = ids.select("v", F.col("dense").alias("label"))
+    write_mtx(coarsening.contract(graph.edges, labels), work.at("out"), ids.count())
+    back = read_mtx(spark, work.at("out")).edges
+    return back.select("src", "dst", F.col("w").cast("long").alias("w"))
+
+
+def random_graph_40(spark: SparkSession, d: str) -> DataFrame:
+    return random_graph(spark, seed=7).edges
+
+
+def queries() -> dict[str, Query]:
+    plain = (
+        edges_symmetric, edges_lower_triangle, graph_summary, total_mass, vertex_weight, csr_offsets, degree_bins_move, degree_bins_symbolic, degree_bins_numeric,
+        edge_partition_4, locate_vertex, modularity_singleton, modularity_labels, neighbor_community_weight, internal_weight, move_candidates,
+        community_weight_direct, community_weight_delta, renumber_communities, community_size, community_degree_bound, community_degree_exact,
+        reorder_vertices, even_partition, coarse_edges, coarse_invariants, sweep_trace_k3, louvain_levels_ps, louvain_two_triangles, mtx_roundtrip, mtx_export_ps,
+    )
+    out = {f.__name__: f for f in plain}
+    for rule in communities.RULES:
+        for way in ("up", "down"):
+            out[f"best_move_{rule}_{way}"] = _best_move(rule, way == "up")
+            out[f"best_move_start_{rule}_{way}"] = _best_move_start(rule, way == "up")
+    for name in ("nt", "ps", "po", "uc", "ek"):
+        for rule in communities.RULES:
+            out[f"louvain_{rule}_{name}"] = _run(name, rule)
+    return out | {"random_graph": random_graph_40}
+
+
+def oracle_sql() -> dict[str, str]:
+    return sql.ORACLES

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwork.workspace import Workspace as _Workspace
+
 #: The characters that count as white space everywhere here: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
@@ -21,41 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of this process where that is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known
-    made = f"file://{tempfile.mkdtemp(prefix='meshwork-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
+def lean(spark: SparkSession) -> None:
+    """Let Arrow batches between JVM and Python have 8 MB at most, unless the session says otherwise, so long texts stay few at a time."""
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, str(8 << 20))
 
-class Workspace:
-    """Tables written once to the shared folder and read again: they cut lineage and outlive lost executors.
 
-    ``put`` writes and rereads, ``drop`` deletes what no later plan reads. What is left goes when the driver ends.
-    """
+class Workspace(_Workspace):
+    """The tables of one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def at(self, name: str) -> str:
-        return f"{self.path}/{name}.parquet"
-
-    def put(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.at(name))
-        return self.spark.read.schema(df.schema).parquet(self.at(name))
-
-    def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        if jvm is None or self.spark.sparkContext._jsc is None:
-            return
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for at in [self.at(n) for n in names] or [self.path]:
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(conf).delete(path, True)
+        super().__init__(spark, name)
+        lean(spark)
 
 
 def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
@@ -76,15 +54,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def words_native(text: Column) -> Column:
     """Lower-cased words, split at white space, as an array; none for a null or blank text."""
-    trimmed = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(WHITE))
-    return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{WHITE_CLASS}+"))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), f"{WHITE_CLASS}+"), "")
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it: a lambda's variable cannot be replaced by what it stands for."""
+    return F.transform(F.array(value), f)[0]
 
 
 def shingles_native(words: Column, n: int = 5) -> Column:
     """xxhash64 of every run of n words; of the whole sequence when there are fewer words; none without words."""
-    size = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))
-    return F.when(size >= n, runs).when(size > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+
+    def of(w: Column) -> Column:
+        size = F.size(w)
+        runs = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
+        return F.when(size >= n, runs).when(size > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
+
+    return bound(words, of)
 
 
 def components(links: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame:

@@ -9,9 +9,9 @@ many light tokens a candidate has to share.
 
 Documents whose tokens are mostly heavy (copies of a text with very many copies, or little more than a passage that
 very many documents hold) are few. They are joined again among themselves with frequencies counted over their whole
-sets, rarest tokens first. What is mostly heavy even so is linked through leaders of the heavy lists, and every pair
-of a list whose ends the links have not yet brought together is then verified: no link between different
-components is lost, and links inside a component are not needed to know it.
+sets, rarest tokens first. What is mostly heavy even so is linked through leaders of the heavy lists, and every pair of
+such documents whose ends the links have not yet brought together is then verified, in blocks: no link between
+different components is lost, and links inside a component are not needed to know it.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ VERIFY = 200
 LEADERS, LEADER_ROUNDS = 6, 2
 #: Ids up to which the texts to verify are found by a broadcast (8 bytes each); beyond, by a shuffle.
 BROADCAST_IDS = 1 << 18
+#: Documents of a block, where blocks are compared with blocks.
+BLOCK = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HEAD_TYPES = "row long, doc_id long, print binary, n long, head array<long>"
 SET_TYPES = "print binary, tokens array<long>"
@@ -133,29 +135,39 @@ def plan_prefix(n: int, places: np.ndarray, counts: np.ndarray, percent: int) ->
     return best[1], best[2], True
 
 
+def _struct_lists(column: pa.ListArray, *names: str) -> Iterator[list[np.ndarray]]:
+    """The named fields of each row's list of structs, as arrays. No Python object is made for an entry."""
+    ends = column.offsets.to_numpy()
+    fields = [column.values.field(n).to_numpy() for n in names]
+    for i in range(len(column)):
+        yield [f[ends[i] : ends[i + 1]] for f in fields]
+
+
+def _plan_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """rows: (row, n, reach, need, covered, light tokens, heavy tokens)."""
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+    plain = [pa.array(c, t) for c, t in zip(columns[:5], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)]
+    return pa.RecordBatch.from_arrays([*plain, _lists(list(columns[5])), _lists(list(columns[6]))], names=["row", "n", "reach", "need", "covered", "token", "heavy"])
+
+
 def _plans(percent: int):
     """Of each document's shared head tokens (row, n, places, tokens, counts): the plan and its prefix's light tokens."""
+    none = np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for row, n, shared in zip(*(c.to_pylist() for c in data.columns), strict=True):
-                shared = sorted((x["place"], x["token"], x["df"]) for x in shared)
-                places, tokens, counts = (np.array(c, np.int64) for c in zip(*shared, strict=True))
+            out = []
+            for row, n, (places, tokens, counts) in zip(data.column(0).to_pylist(), data.column(1).to_pylist(), _struct_lists(data.column(2), "place", "token", "df"), strict=True):
+                order = np.argsort(places)
+                places, tokens, counts = places[order], tokens[order], counts[order]
                 reach, need, covered = plan_prefix(n, places, counts, percent)
                 inside = (counts <= LIGHT) & (places < n - at_least(n, percent) + reach)
-                for column, value in zip(out, (row, n, reach, need, covered, tokens[inside]), strict=True):
-                    column.append(value)
-            yield _plan_batch(out, [np.empty(0, np.int64)] * len(out[0]))
+                out.append((row, n, reach, need, covered, tokens[inside], none))
+            yield _plan_batch(out)
 
     return run
 
 
-def _plan_batch(out: list[list], heavy: list[np.ndarray]) -> pa.RecordBatch:
-    columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=False)]
-    return pa.RecordBatch.from_arrays([*columns, _lists(out[5]), _lists(heavy)], names=["row", "n", "reach", "need", "covered", "token", "heavy"])
-
-
 def _whole_plans(percent: int):
     """The same from whole sets: tokens of one document only come first, then light ones, then heavy ones.
 
@@ -165,11 +177,10 @@ def _whole_plans(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            heavies = []
-            for row, n, shared in zip(*(c.to_pylist() for c in data.columns), strict=True):
-                shared = sorted((x["token"], x["df"]) for x in shared)
-                tokens, counts = (np.array(c, np.int64) for c in zip(*shared, strict=True))
+            out = []
+            for row, n, (tokens, counts) in zip(data.column(0).to_pylist(), data.column(1).to_pylist(), _struct_lists(data.column(2), "token", "df"), strict=True):
+                order = np.argsort(tokens)
+                tokens, counts = tokens[order], counts[order]
                 light, heavy = tokens[counts <= LIGHT], tokens[counts > LIGHT]
                 alone, prefix = n - len(tokens), n - at_least(n, percent) + 1
                 spare = min(n - len(heavy) - prefix, at_least(n, percent) - 1, 30)
@@ -179,10 +190,8 @@ def _whole_plans(percent: int):
                     light, heavy = light[: max(prefix + extra - alone, 0)], heavy[:0]
                 else:
                     heavy = heavy[: prefix - (n - len(heavy))]
-                heavies.append(heavy)
-                for column, value in zip(out, (row, n, 1 + extra, (1 + extra) * covered, covered, light), strict=True):
-                    column.append(value)
-            yield _plan_batch(out, heavies)
+                out.append((row, n, 1 + extra, (1 + extra) * covered, covered, light, heavy))
+            yield _plan_batch(out)
 
     return run
 
@@ -226,15 +235,65 @@ def _leader_links(heavy: DataFrame, sets: DataFrame, percent: int, turn: int) ->
     return verified(pairs, sets, percent)
 
 
-def _open_pairs(heavy: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs in a heavy list that no chain of links joins yet: each has an end outside the list's largest component."""
-    entries = heavy.select("row", "n", F.explode("heavy").alias("token")).join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    sizes = entries.groupBy("token", "root").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k")).where("k > 1").select("token", F.col("m.root").alias("main"))
-    split = entries.join(main, "token")
-    x, y = split.where("root <> main").alias("x"), split.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & _similar_sizes(percent))
-    return met.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).distinct()
+def _clusters(heavy: DataFrame, work: Workspace) -> DataFrame:
+    """(row, cluster): mostly heavy documents that a chain of shared heavy prefix tokens joins. Similar ones are in one."""
+    entries = heavy.select("row", F.explode("heavy").alias("token"))
+    hubs = entries.groupBy("token").agg(F.min("row").alias("hub"))
+    links = work.put("hubs", entries.join(hubs, "token").where("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct())
+    return components(links, work).select(F.col("node").alias("row"), F.col("root").alias("cluster"))
+
+
+def _open_links(heavy: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """Verified links between documents of a cluster that no chain of links joins yet.
+
+    Of two such documents one is outside the cluster's largest component. Those outside are put in blocks, and every
+    block is compared with all blocks of its cluster, a pair of blocks at a time, by array operations.
+    """
+    placed = heavy.select("row").join(_clusters(heavy, work), "row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
+    placed = work.put("placed", placed)
+    parts = placed.groupBy("cluster", "root").agg(F.count("*").alias("c"))
+    main = parts.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k"), F.sum("c").alias("all")).where("k > 1")
+    main = main.select("cluster", F.col("m.root").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("outer"))
+    open_ = placed.join(main, "cluster").join(sets.select("row", "tokens"), "row")
+
+    def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
+        slot = F.pmod(F.xxhash64("row"), F.ceil(F.col(size) / BLOCK)).alias(f"{name}_block")
+        return rows.groupBy("cluster", slot).agg(F.collect_list(F.struct("row", "root", "tokens")).alias(name))
+
+    pairs = blocks(open_.where("root <> main"), "outer", "x").join(blocks(open_, "all", "y"), "cluster").repartition("cluster", "x_block", "y_block")
+    return pairs.select("x", "y").mapInArrow(_compare(percent), "a long, b long")
+
+
+def _unpack(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, root, ends and tokens of a block."""
+    values = rows.values
+    lists = values.field("tokens")
+    ends = lists.offsets.to_numpy()
+    return values.field("row").to_numpy(), values.field("root").to_numpy(), ends - ends[0], lists.values.to_numpy()[ends[0] : ends[-1]]
+
+
+def _compare(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in batches:
+            found: list[tuple[int, int]] = []
+            for x, y in zip(data.column(0), data.column(1), strict=True):
+                x_row, x_root, x_ends, x_tokens = _unpack(x)
+                y_row, y_root, y_ends, y_tokens = _unpack(y)
+                known, place = np.unique(x_tokens, return_inverse=True)
+                holds = np.zeros((len(known) + 1, len(x_row)), np.int32)  # the last line is that of tokens not in x
+                holds[place, np.repeat(np.arange(len(x_row)), np.diff(x_ends))] = 1
+                at = np.searchsorted(known, y_tokens)
+                at[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != y_tokens)] = len(known)
+                sizes = np.diff(x_ends)
+                for j in range(len(y_row)):
+                    both = holds[at[y_ends[j] : y_ends[j + 1]]].sum(axis=0)
+                    union = sizes + (y_ends[j + 1] - y_ends[j]) - both
+                    hits = np.flatnonzero((both * 100 >= union * percent) & (x_root != y_root[j]))
+                    found += [(int(min(x_row[i], y_row[j])), int(max(x_row[i], y_row[j]))) for i in hits]
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, n_words: int = 5, work: Workspace | None = None) -> DataFrame:
@@ -251,13 +310,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     work = work or Workspace(spark, "jaccard")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     heads = work.put("heads", texts.mapInArrow(_heads(n_words, percent), HEAD_TYPES))
-    members = heads.select("row", "doc_id", "print", "n")
+    members = work.put("members", heads.select("row", "doc_id", "print", "n"))
     filled = heads.where("n > 0")
     classes = work.put("classes", filled.groupBy("print").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.count("*").alias("size"), F.first("n").alias("n")))
-    # one head for each class
-    reps = filled.groupBy("print").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("head").alias("head"))
-    postings = reps.select("row", "n", F.posexplode("head").alias("place", "token"))
+    # the head of the first row of each class stands for all
+    copies = join_groups(filled.select(F.col("row").alias("copy"), "print"), classes.where("size > 1"), ["print"], "size").where("copy <> row").select("copy")
+    copies = work.put("copies", copies)
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    postings = filled.join(copies, F.col("row") == F.col("copy"), "left_anti").select("row", "n", F.posexplode("head").alias("place", "token"))
     plans = work.put("plans", _shared(postings, "place").mapInArrow(_plans(percent), PLAN_TYPES))
+    work.drop("heads")
     pairs = work.put("pairs", _candidates(plans, percent))
 
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).union(plans.where("not covered").select("row")).distinct()
@@ -277,7 +339,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             links.append(work.put(f"links{turn + 1}", _leader_links(heavy, sets, percent, turn)))
         so_far = links[0].union(links[1]).union(links[2])
         roots = work.put("roots", components(so_far, work).select(F.col("node").alias("row"), "root"))
-        links.append(work.put("links-open", verified(_open_pairs(heavy, roots, percent), sets, percent)))
+        links.append(work.put("links-open", _open_links(heavy, sets, roots, percent, work)))
     found = links[0]
     for more in links[1:]:
         found = found.union(more)

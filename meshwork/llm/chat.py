@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.llm.common import lean
+
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Strings that chat templates use as controls. None may stand unescaped in a text.
 CONTROLS = [START, MIDDLE, END, "<|endoftext|>", "<|startoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<s>", "</s>", "<unk>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
@@ -131,6 +133,7 @@ def format_chats(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     characters to encode: a conversation, being one training example that is encoded once, has to fit into a task.
     An empty table gives an empty result; further columns are not read.
     """
+    lean(rows.sparkSession)
     ordered = rows.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.select(F.col("conv_id").cast("long"), "role", "text").mapInArrow(_format(tokenizer), FORMAT_TYPES)
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.llm.common import lean
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags whose content is text up to their end tag.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
@@ -392,4 +394,5 @@ def extract_html(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     A null or empty html gives an empty text; what is no HTML is text. Repeated rows give repeated results, an empty table an empty
     one; further columns are not read.
     """
+    lean(pages.sparkSession)
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInArrow(_texts, "page_id long, text string")

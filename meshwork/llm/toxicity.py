@@ -11,15 +11,17 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshwork.llm.common import lean
+
 #: Neutral terms for groups of people, by kind.
 IDENTITY_TERMS = {
     "belief": ["muslim", "muslims", "christian", "christians", "jewish", "jews", "hindu", "hindus", "buddhist", "buddhists", "sikh", "sikhs", "catholic", "catholics", "atheist", "atheists"],
@@ -32,6 +34,9 @@ IDENTITY_TERMS = {
     "others": ["musulman", "musulmans", "juif", "juifs", "femme", "femmes", "noirs", "frauen", "juden", "muslime", "mujeres", "musulmanes", "inmigrantes"],
 }
 PREFIXES = range(3, 9)
+#: Features are hashed to so many bits.
+BITS = 22
+SHIFT = 64 - BITS
 #: Entries that a worker keeps of the words it has met.
 CACHE = 400_000
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -56,12 +61,11 @@ def plain_words(text: str, known: dict[str, str]) -> set[str]:
     return out
 
 
-def features(word: str) -> Iterator[str]:
-    """A word's features: itself, and its proper prefixes."""
-    yield "=" + word
-    for n in PREFIXES:
-        if len(word) > n:
-            yield word[:n]
+def features(word: str) -> list[int]:
+    """A word's features, hashed: itself, and its proper prefixes."""
+    out = [xxhash.xxh3_64_intdigest("=" + word) >> SHIFT]
+    out += [xxhash.xxh3_64_intdigest(word[:n]) >> SHIFT for n in PREFIXES if len(word) > n]
+    return out
 
 
 @dataclass
@@ -69,17 +73,18 @@ class Model:
     """bias and the nonzero weights; a bounded number of them."""
 
     bias: float
-    weights: dict[str, float] = field(default_factory=dict)
+    weights: dict[int, float] = field(default_factory=dict)
 
-    def score(self, words: Iterable[str], known: dict[str, tuple[str, ...]]) -> float:
-        hits: set[str] = set()
+    def score(self, words: Iterable[str], known: dict[str, tuple[int, ...]]) -> float:
+        hits: set[int] = set()
         for word in words:
             own = known.get(word)
             if own is None:
                 if len(known) >= CACHE:
                     known.clear()
                 own = known[word] = tuple(f for f in features(word) if f in self.weights)
-            hits.update(own)
+            if own:
+                hits.update(own)
         z = self.bias + math.fsum(self.weights[f] for f in hits)
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
@@ -99,60 +104,58 @@ def swapped(words: set[str]) -> set[str] | None:
 
 
 class Rows:
-    """Sparse rows of a fixed width, as index arrays."""
+    """Sparse rows: ends of the rows, columns, and values (1 where there are none)."""
 
-    def __init__(self, rows: list[dict[int, float]], width: int):
-        self.n, self.width = len(rows), width
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows]).astype(np.int64)
-        self.col = np.fromiter((c for r in rows for c in r), np.int64, len(self.row))
-        self.val = np.fromiter((v for r in rows for v in r.values()), np.float64, len(self.row))
+    def __init__(self, ends: np.ndarray, columns: np.ndarray, width: int, values: np.ndarray | None = None):
+        self.n, self.width, self.columns, self.values = len(ends) - 1, width, columns, values
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(ends))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.val * w[self.col], self.n)
+        x = w[self.columns]
+        return np.bincount(self.row, x if self.values is None else x * self.values, self.n)
 
     def back(self, r: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, self.val * r[self.row], self.width)
+        x = r[self.row]
+        return np.bincount(self.columns, x if self.values is None else x * self.values, self.width)
+
+
+@dataclass
+class Sample:
+    """Labelled texts as hashed features: row i has found[ends[i]:ends[i + 1]]; changes are what swapped terms add and take."""
 
+    toxic: np.ndarray
+    ends: np.ndarray
+    found: np.ndarray
+    changes: list[tuple[list[int], list[int]]]
 
-def fit(texts: list[set[str]], toxic: list[int], max_features: int = 20_000, l1: float = 2e-4, fairness: float = 1.0, steps: int = 250) -> Model:
+
+def fit(sample: Sample, max_features: int = 20_000, l1: float = 1e-4, fairness: float = 1.0, steps: int = 300) -> Model:
     """Fit by accelerated proximal gradient: mean logistic loss, L1, and fairness * mean squared change under swaps."""
-    n, n_toxic = len(texts), sum(toxic)
+    y = sample.toxic.astype(np.float64)
+    n, n_toxic = len(y), int(y.sum())
     prior = math.log((n_toxic + 0.5) / (n - n_toxic + 0.5))
     if not 0 < n_toxic < n:
         return Model(prior)
-    cache: dict[str, list[str]] = {}
-    found = []
-    for words in texts:
-        mine: set[str] = set()
-        for w in words:
-            if (f := cache.get(w)) is None:
-                f = cache[w] = list(features(w))
-            mine.update(f)
-        found.append(mine)
-    seen = (Counter(), Counter())
-    for mine, y in zip(found, toxic, strict=True):
-        seen[y].update(mine)
+    lengths = np.diff(sample.ends)
+    seen1 = np.bincount(sample.found[np.repeat(sample.toxic == 1, lengths)], minlength=1 << BITS)
+    seen = np.bincount(sample.found, minlength=1 << BITS)
     # the features whose presence tells most of the label, by a smoothed log-likelihood ratio
+    often = np.flatnonzero(seen >= 2)
+    a, b = seen1[often] + 0.5, seen[often] - seen1[often] + 0.5
     a0, b0 = n_toxic + 1.0, n - n_toxic + 1.0
-
-    def gain(f: str) -> float:
-        a, b = seen[1][f] + 0.5, seen[0][f] + 0.5
-        return abs(a * math.log(a / (a + b) * (a0 + b0) / a0) + b * math.log(b / (a + b) * (a0 + b0) / b0))
-
-    terms = [t for kind in IDENTITY_TERMS.values() for t in kind]
-    often = [f for f in {**seen[0], **seen[1]} if seen[0][f] + seen[1][f] >= 2]
-    chosen = sorted(often, key=lambda f: (-gain(f), f))[:max_features]
-    index = {f: i for i, f in enumerate(dict.fromkeys([*chosen, *(f for t in terms for f in features(t))]))}
-    width = len(index)
-    x = Rows([{index[f]: 1.0 for f in mine if f in index} for mine in found], width)
-    changes = []
-    for words in texts:
-        if (other := swapped(words)) is not None:
-            before, after = ({index[f] for w in some for f in features(w) if f in index} for some in (words - other, other - words))
-            changes.append({i: 1.0 for i in after - before} | {i: -1.0 for i in before - after})
-    changes += [{index[f]: 1.0 for f in features(t)} for t in terms]
-    d = Rows(changes, width)
-    y = np.asarray(toxic, np.float64)
+    gain = np.abs(a * np.log(a / (a + b) * (a0 + b0) / a0) + b * np.log(b / (a + b) * (a0 + b0) / b0))
+    terms = [features(t) for kind in IDENTITY_TERMS.values() for t in kind]
+    chosen = often[np.lexsort((often, -gain))[:max_features]]
+    ids = np.unique(np.concatenate([chosen, np.array([f for t in terms for f in t], np.int64)]))
+    width = len(ids)
+    index = np.full(1 << BITS, -1, np.int32)
+    index[ids] = np.arange(width, dtype=np.int32)
+    at = index[sample.found]
+    kept = at >= 0
+    x = Rows(np.concatenate([[0], np.cumsum(kept)])[sample.ends], at[kept], width)
+    changes = [{index[f]: 1.0 for f in plus if index[f] >= 0} | {index[f]: -1.0 for f in minus if index[f] >= 0} for plus, minus in sample.changes]
+    changes += [{index[f]: 1.0 for f in t} for t in terms]
+    d = Rows(np.cumsum([0, *map(len, changes)]), np.array([c for row in changes for c in row], np.int32), width, np.array([v for row in changes for v in row.values()]))
     # Lipschitz bound of the smooth part, by power iteration over both quadratic forms
     v = np.ones(width) / math.sqrt(width)
     for _ in range(20):
@@ -160,38 +163,54 @@ def fit(texts: list[set[str]], toxic: list[int], max_features: int = 20_000, l1:
         top = float(np.linalg.norm(v)) or 1.0
         v /= top
     step = 1 / (1.2 * top + 0.3)
-    w, b, w0, b0_, t = np.zeros(width), prior, np.zeros(width), prior, 1.0
+    w, c, w_old, c_old, t = np.zeros(width), prior, np.zeros(width), prior, 1.0
     for _ in range(steps):
-        t1 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        u, c = w + (t - 1) / t1 * (w - w0), b + (t - 1) / t1 * (b - b0_)
-        p = 1 / (1 + np.exp(-np.clip(x.dot(u) + c, -60, 60)))
-        grad = x.back(p - y) / n + 2 * fairness * d.back(d.dot(u)) / d.n
-        w0, b0_, t = w, b, t1
-        w = u - step * grad
+        t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        ahead = (t - 1) / t_new
+        u, bias = w + ahead * (w - w_old), c + ahead * (c - c_old)
+        p = 1 / (1 + np.exp(-np.clip(x.dot(u) + bias, -60, 60)))
+        down = x.back(p - y) / n + 2 * fairness * d.back(d.dot(u)) / d.n
+        w_old, c_old, t = w, c, t_new
+        w = u - step * down
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        b = c - step * float(np.mean(p - y))
-    return Model(float(b), {f: float(w[i]) for f, i in index.items() if w[i]})
+        c = bias - step * float(np.mean(p - y))
+    return Model(float(c), {int(ids[i]): float(w[i]) for i in np.flatnonzero(w)})
 
 
-def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, str] = {}
     for data in batches:
-        words = [" ".join(sorted(plain_words(t or "", known))) for t in data.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([data.column(0), data.column(1), pa.array(words, pa.string())], names=["doc_id", "toxic", "words"])
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 12_000, **options) -> Model:
+        found, plus, minus = [], [], []
+        for text in data.column(2).to_pylist():
+            words = plain_words(text or "", known)
+            mine = {f for w in words for f in features(w)}
+            other = swapped(words)
+            then = mine if other is None else {f for w in other for f in features(w)}
+            found.append(sorted(mine))
+            plus.append(sorted(then - mine))
+            minus.append(sorted(mine - then))
+        ints = pa.list_(pa.int32())
+        yield pa.RecordBatch.from_arrays([data.column(0), data.column(1), *(pa.array(c, ints) for c in (found, plus, minus))], names=["doc_id", "toxic", "found", "plus", "minus"])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8_000, **options) -> Model:
     """A model from at most max_labelled labelled rows, those whose ids hash lowest.
 
     labels: doc_id and toxic. Rows with a null in either, or a toxic other than 0 and 1, are left out; of several
-    labels of a doc_id the largest counts. Both sample and model are bounded, so both may go to the driver.
+    labels of a doc_id the largest counts, and of rows that repeat a doc_id the one with the lowest text. Both sample and model are bounded, so both
+    may go to the driver; texts do not, only their hashed features.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = rows.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(_sample_words, "doc_id long, toxic int, words string").limit(2 * max_labelled).collect()
-    found.sort()
-    return fit([set(r.words.split()) for r in found], [r.toxic for r in found], **options)
+    rows = rows.groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text"))
+    table = rows.mapInArrow(_hashed, "doc_id long, toxic int, found array<int>, plus array<int>, minus array<int>").toArrow()
+    table = table.take(np.argsort(table.column("doc_id").to_numpy())).combine_chunks()
+    found = table.column("found").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
+    ends = found.offsets.to_numpy().astype(np.int64)
+    changes = [(a, b) for a, b in zip(table.column("plus").to_pylist(), table.column("minus").to_pylist(), strict=True) if a or b]
+    return fit(Sample(table.column("toxic").to_numpy(), ends - ends[0], found.values.to_numpy()[ends[0] : ends[-1]], changes), **options)
 
 
 def held_out(id_col: str):
@@ -202,7 +221,7 @@ def held_out(id_col: str):
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, str] = {}
-        hits: dict[str, tuple[str, ...]] = {}
+        hits: dict[str, tuple[int, ...]] = {}
         for data in batches:
             score = [model.score(plain_words(t or "", words), hits) for t in data.column(2).to_pylist()]
             predicted = [int(s >= 0.5) for s in score]
@@ -219,18 +238,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     of toxic labels for every text. Repeated rows are scored alike; an empty table gives an empty result; further
     columns are not read.
     """
+    lean(docs.sparkSession)
     model = train(docs, labels.where(~held_out("doc_id")), id_col, text_col, **options)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(_scores(model), SCORE_TYPES)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns unchanged, whose score is below 0.5; defined as in toxicity()."""
+    lean(docs.sparkSession)
     model = train(docs, labels.where(~held_out("doc_id")), id_col, text_col, **options)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, str] = {}
-        hits: dict[str, tuple[str, ...]] = {}
+        hits: dict[str, tuple[int, ...]] = {}
         for data in batches:
             yield data.filter(pa.array([model.score(plain_words(t or "", words), hits) < 0.5 for t in data.column(at).to_pylist()], pa.bool_()))
 

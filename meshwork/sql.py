@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from meshwork.functions.scores import BINS
+
 PAIRS = {
     "po": "SELECT l_partkey AS a, 1000000000 + l_orderkey AS b, CAST(sum(l_quantity) AS BIGINT) AS w FROM lineitem GROUP BY 1, 2",
     "ps": "SELECT l_partkey AS a, 1000000000 + l_suppkey AS b, CAST(sum(l_quantity) AS BIGINT) AS w FROM lineitem GROUP BY 1, 2",
@@ -12,11 +14,6 @@ PAIRS = {
       JOIN (SELECT DISTINCT user_id, epoch_us(ts) // 600000000 AS slot FROM events) y ON x.slot = y.slot AND x.user_id < y.user_id GROUP BY 1, 2""",
     "triangles": "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(1 AS BIGINT) AS w FROM (VALUES (0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (2, 3)) t(a, b)",
 }
-BINS = {
-    "move": [2, 4, 8, 16, 32, 128, 512, 2048, 4094],
-    "symbolic": [32, 64, 128, 256, 512, 1024, 2048, 4096, 8192, 12288],
-    "numeric": [32, 64, 128, 256, 512, 1024, 2048, 4095],
-}
 
 
 def graph(name: str) -> str:

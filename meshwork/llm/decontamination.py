@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import Workspace, shingles_native
+from meshwork.llm.common import Workspace, bound, shingles_native
 
 #: Rows of signatures, item shingles or candidate ids up to which that side is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 1 << 18
@@ -29,9 +29,13 @@ def words(text: Column) -> Column:
 
 def word_shingles(words_: Column, n: int) -> Column:
     """The shingles as text; the whole sequence where there are fewer words than n; none without words."""
-    size = F.size(words_)
-    runs = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(words_, i, n), " "))
-    return F.when(size >= n, runs).when(size > 0, F.array(F.array_join(words_, " "))).otherwise(F.array().cast("array<string>"))
+
+    def of(w: Column) -> Column:
+        size = F.size(w)
+        runs = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(size >= n, runs).when(size > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(words_, of)
 
 
 def checked(df: DataFrame, rows: int) -> DataFrame:
@@ -41,8 +45,8 @@ def checked(df: DataFrame, rows: int) -> DataFrame:
 
 def signatures(items: DataFrame, percent: int, n_words: int, item_col: str, text_col: str) -> DataFrame:
     """(item_id, m, least, bottom) of every item with words: set size, shingles needed, the k smallest hashes."""
-    hashes = F.array_sort(F.array_distinct(shingles_native(F.col("w"), n_words)))
-    sized = items.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("w")).select("item_id", hashes.alias("s")).withColumn("m", F.size("s")).where("m > 0")
+    hashes = F.array_sort(F.array_distinct(shingles_native(words(F.col(text_col)), n_words)))
+    sized = items.select(F.col(item_col).alias("item_id"), hashes.alias("s")).withColumn("m", F.size("s")).where("m > 0")
     least = F.ceil(F.col("m") * percent / 100).cast("int")
     return sized.select("item_id", "m", least.alias("least"), F.slice("s", 1, F.col("m") - least + 1).alias("bottom"))
 
@@ -64,7 +68,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     probes = signed.select("item_id", "least", F.explode("bottom").alias("h"))
     n_probes, top = probes.agg(F.count("*"), F.max("h")).first()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hashed = texts.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("n_words"), F.explode(shingles_native(F.col("w"), n_words)).alias("h"))
+    hashed = texts.select("doc_id", F.explode(shingles_native(words(F.col("text")), n_words)).alias("h"))
     hashed = hashed.where(F.col("h") <= F.lit(top if top is not None else 0))
     found = hashed.join(checked(probes, n_probes), "h").select("doc_id", "item_id").distinct()
     candidates = work.put("candidates", found)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -80,9 +81,13 @@ def components(links: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame
     neighbour, with one aggregation and one join by node, so a hub's list is never gathered. Each round is
     written to the shared folder; the number of rounds grows with the logarithm of a component's size.
     """
-    edges = work.put("cc0", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    mark, last = (-1, -1), "cc0"
+    name = f"cc-{uuid.uuid4().hex[:8]}-"
+    edges = work.put(f"{name}0", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     for i in range(1, rounds + 1):
+        # done when every node has one link at most and no root has one
+        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+        if ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: of each node the larger neighbours go to its smallest one
@@ -90,16 +95,9 @@ def components(links: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame
         # small star: of each node the smaller neighbours, and itself, go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        edges = work.put(f"cc{i}", small)
-        now = edges.agg(F.count("*"), F.countDistinct("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        work.drop(last)
-        last = f"cc{i}"
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
-    else:
-        raise RuntimeError("the components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v"))).distinct()
+        edges = work.put(f"{name}{i}", small)
+        work.drop(f"{name}{i - 1}")
+    raise RuntimeError("the components did not settle")
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:

@@ -332,18 +332,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     crowd = sets.join(plans.where("not covered").select("row"), "row", "left_semi")
     again = work.put("again", _shared(crowd.select("row", "n", F.explode("tokens").alias("token"))).mapInArrow(_whole_plans(percent), PLAN_TYPES))
-    links = [work.put("links0", verified(pairs.union(_candidates(again, percent)).distinct(), sets, percent))]
+    links = work.put("links0", verified(pairs.union(_candidates(again, percent)).distinct(), sets, percent))
     heavy = again.where("not covered").select("row", "n", "heavy")
-    if not heavy.isEmpty():
+    crowded = not heavy.isEmpty()
+    if crowded:
         for turn in range(LEADER_ROUNDS):
-            links.append(work.put(f"links{turn + 1}", _leader_links(heavy, sets, percent, turn)))
-        so_far = links[0].union(links[1]).union(links[2])
-        roots = work.put("roots", components(so_far, work).select(F.col("node").alias("row"), "root"))
-        links.append(work.put("links-open", _open_links(heavy, sets, roots, percent, work)))
-    found = links[0]
-    for more in links[1:]:
-        found = found.union(more)
-    roots = components(found, work).select(F.col("node").alias("row"), "root")
+            links = links.union(work.put(f"links{turn + 1}", _leader_links(heavy, sets, percent, turn)))
+    roots = work.put("roots", components(links, work).select(F.col("node").alias("row"), "root"))
+    if crowded:
+        more = work.put("links-open", _open_links(heavy, sets, roots, percent, work))
+        if not more.isEmpty():
+            roots = work.put("roots-all", components(links.union(more), work).select(F.col("node").alias("row"), "root"))
     named = classes.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("parts"))
     groups = work.put("groups", named.join(lowest, "root").where("size > 1 or parts > 1").select("print", "component_id", "size"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import lean
+from meshwork.llm.common import Workspace, lean
 
 #: Neutral terms for groups of people, by kind.
 IDENTITY_TERMS = {
@@ -34,9 +34,6 @@ IDENTITY_TERMS = {
     "others": ["musulman", "musulmans", "juif", "juifs", "femme", "femmes", "noirs", "frauen", "juden", "muslime", "mujeres", "musulmanes", "inmigrantes"],
 }
 PREFIXES = range(3, 9)
-#: Features are hashed to so many bits.
-BITS = 22
-SHIFT = 64 - BITS
 #: Entries that a worker keeps of the words it has met.
 CACHE = 400_000
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -63,8 +60,8 @@ def plain_words(text: str, known: dict[str, str]) -> set[str]:
 
 def features(word: str) -> list[int]:
     """A word's features, hashed: itself, and its proper prefixes."""
-    out = [xxhash.xxh3_64_intdigest("=" + word) >> SHIFT]
-    out += [xxhash.xxh3_64_intdigest(word[:n]) >> SHIFT for n in PREFIXES if len(word) > n]
+    out = [xxhash.xxh3_64_intdigest("=" + word) >> 1]
+    out += [xxhash.xxh3_64_intdigest(word[:n]) >> 1 for n in PREFIXES if len(word) > n]
     return out
 
 
@@ -121,40 +118,26 @@ class Rows:
 
 @dataclass
 class Sample:
-    """Labelled texts as hashed features: row i has found[ends[i]:ends[i + 1]]; changes are what swapped terms add and take."""
+    """Labelled texts by their features' places in ids: row i has found[ends[i]:ends[i + 1]]. changes: of each swap what comes and what goes."""
 
+    ids: np.ndarray
     toxic: np.ndarray
     ends: np.ndarray
     found: np.ndarray
     changes: list[tuple[list[int], list[int]]]
 
 
-def fit(sample: Sample, max_features: int = 20_000, l1: float = 1e-4, fairness: float = 1.0, steps: int = 300) -> Model:
+def fit(sample: Sample, l1: float = 1e-4, fairness: float = 1.0, steps: int = 300) -> Model:
     """Fit by accelerated proximal gradient: mean logistic loss, L1, and fairness * mean squared change under swaps."""
     y = sample.toxic.astype(np.float64)
     n, n_toxic = len(y), int(y.sum())
     prior = math.log((n_toxic + 0.5) / (n - n_toxic + 0.5))
     if not 0 < n_toxic < n:
         return Model(prior)
-    lengths = np.diff(sample.ends)
-    seen1 = np.bincount(sample.found[np.repeat(sample.toxic == 1, lengths)], minlength=1 << BITS)
-    seen = np.bincount(sample.found, minlength=1 << BITS)
-    # the features whose presence tells most of the label, by a smoothed log-likelihood ratio
-    often = np.flatnonzero(seen >= 2)
-    a, b = seen1[often] + 0.5, seen[often] - seen1[often] + 0.5
-    a0, b0 = n_toxic + 1.0, n - n_toxic + 1.0
-    gain = np.abs(a * np.log(a / (a + b) * (a0 + b0) / a0) + b * np.log(b / (a + b) * (a0 + b0) / b0))
-    terms = [features(t) for kind in IDENTITY_TERMS.values() for t in kind]
-    chosen = often[np.lexsort((often, -gain))[:max_features]]
-    ids = np.unique(np.concatenate([chosen, np.array([f for t in terms for f in t], np.int64)]))
-    width = len(ids)
-    index = np.full(1 << BITS, -1, np.int32)
-    index[ids] = np.arange(width, dtype=np.int32)
-    at = index[sample.found]
-    kept = at >= 0
-    x = Rows(np.concatenate([[0], np.cumsum(kept)])[sample.ends], at[kept], width)
-    changes = [{index[f]: 1.0 for f in plus if index[f] >= 0} | {index[f]: -1.0 for f in minus if index[f] >= 0} for plus, minus in sample.changes]
-    changes += [{index[f]: 1.0 for f in t} for t in terms]
+    ids, width = sample.ids, len(sample.ids)
+    x = Rows(sample.ends, sample.found, width)
+    changes = [dict.fromkeys(plus, 1.0) | dict.fromkeys(minus, -1.0) for plus, minus in sample.changes]
+    changes += [dict.fromkeys(np.searchsorted(ids, sorted(features(t))).tolist(), 1.0) for t in identity_terms()]
     d = Rows(np.cumsum([0, *map(len, changes)]), np.array([c for row in changes for c in row], np.int32), width, np.array([v for row in changes for v in row.values()]))
     # Lipschitz bound of the smooth part, by power iteration over both quadratic forms
     v = np.ones(width) / math.sqrt(width)
@@ -177,6 +160,10 @@ def fit(sample: Sample, max_features: int = 20_000, l1: float = 1e-4, fairness:
     return Model(float(c), {int(ids[i]): float(w[i]) for i in np.flatnonzero(w)})
 
 
+def identity_terms() -> list[str]:
+    return [t for kind in IDENTITY_TERMS.values() for t in kind]
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, str] = {}
     for data in batches:
@@ -189,28 +176,58 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.append(sorted(mine))
             plus.append(sorted(then - mine))
             minus.append(sorted(mine - then))
-        ints = pa.list_(pa.int32())
-        yield pa.RecordBatch.from_arrays([data.column(0), data.column(1), *(pa.array(c, ints) for c in (found, plus, minus))], names=["doc_id", "toxic", "found", "plus", "minus"])
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([data.column(0), data.column(1), *(pa.array(c, longs) for c in (found, plus, minus))], names=["doc_id", "toxic", "found", "plus", "minus"])
+
+
+def _placed(ids: np.ndarray):
+    """Features as places in the sorted ids; others are left out."""
+
+    def places(column: pa.ListArray) -> pa.Array:
+        ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+        at = np.minimum(np.searchsorted(ids, values), len(ids) - 1)
+        known = ids[at] == values
+        total = np.concatenate([[0], np.cumsum(known)])[ends]
+        inside = np.zeros(len(values), bool)
+        inside[ends[0] : ends[-1]] = True
+        return pa.ListArray.from_arrays(pa.array((total - total[0]).astype(np.int32)), pa.array(at[known & inside].astype(np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in batches:
+            yield pa.RecordBatch.from_arrays([data.column(0), data.column(1), *(places(data.column(i)) for i in (2, 3, 4))], names=data.schema.names)
+
+    return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8_000, **options) -> Model:
-    """A model from at most max_labelled labelled rows, those whose ids hash lowest.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8_000, max_features: int = 20_000, **options) -> Model:
+    """A model from at most max_labelled labelled rows, those whose ids hash lowest, and the max_features features that tell most.
 
     labels: doc_id and toxic. Rows with a null in either, or a toxic other than 0 and 1, are left out; of several
-    labels of a doc_id the largest counts, and of rows that repeat a doc_id the one with the lowest text. Both sample and model are bounded, so both
-    may go to the driver; texts do not, only their hashed features.
+    labels of a doc_id the largest counts, and of rows that repeat a doc_id the one with the lowest text. Both sample
+    and model are bounded, so both may go to the driver; texts do not, only the places of their chosen features.
     """
+    spark = docs.sparkSession
+    work = Workspace(spark, "toxicity")
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text"))
-    table = rows.mapInArrow(_hashed, "doc_id long, toxic int, found array<int>, plus array<int>, minus array<int>").toArrow()
+    sample = work.put("sample", rows.mapInArrow(_hashed, "doc_id long, toxic int, found array<long>, plus array<long>, minus array<long>"))
+    n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    # the features whose presence tells most of the label, by a smoothed log-likelihood ratio
+    seen = sample.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where("n >= 2")
+    a, b, a0, b0 = F.col("n1") + 0.5, F.col("n") - F.col("n1") + 0.5, n_toxic + 1.0, n - n_toxic + 1.0
+    gain = F.abs(a * F.log(a / (a + b) * ((a0 + b0) / a0)) + b * F.log(b / (a + b) * ((a0 + b0) / b0)))
+    best = seen.select("f", F.round(gain, 9).alias("gain")).orderBy(F.desc("gain"), "f").limit(max_features)
+    ids = np.unique(np.array([r.f for r in best.collect()] + [f for t in identity_terms() for f in features(t)], np.int64))
+    table = sample.mapInArrow(_placed(ids), "doc_id long, toxic int, found array<int>, plus array<int>, minus array<int>").toArrow()
     table = table.take(np.argsort(table.column("doc_id").to_numpy())).combine_chunks()
     found = table.column("found").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
     ends = found.offsets.to_numpy().astype(np.int64)
     changes = [(a, b) for a, b in zip(table.column("plus").to_pylist(), table.column("minus").to_pylist(), strict=True) if a or b]
-    return fit(Sample(table.column("toxic").to_numpy(), ends - ends[0], found.values.to_numpy()[ends[0] : ends[-1]], changes), **options)
+    work.drop("sample")
+    return fit(Sample(ids, table.column("toxic").to_numpy(), ends - ends[0], found.values.to_numpy()[ends[0] : ends[-1]], changes), **options)
 
 
 def held_out(id_col: str):

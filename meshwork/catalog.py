@@ -256,9 +256,9 @@ def queries() -> dict[str, Query]:
             out[f"best_move_{rule}_{way}"] = _best_move(rule, way == "up")
             out[f"best_move_start_{rule}_{way}"] = _best_move_start(rule, way == "up")
     for rule in communities.RULES:
-        for name in ("nt", "ps", "uc", "ek"):
+        for name in ("nt", "ps", "po", "uc", "ek"):
             out[f"louvain_{rule}_{name}"] = _run(name, rule)
-        # the largest graph: one phase and its contraction
+        # the largest graph's first phase alone
         out[f"louvain_{rule}_po_phase0"] = _run("po", rule, 1)
     return out | {"random_graph": random_graph_40}
 

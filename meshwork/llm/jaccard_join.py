@@ -9,9 +9,10 @@ many light tokens a candidate has to share.
 
 Documents whose tokens are mostly heavy (copies of a text with very many copies, or little more than a passage that
 very many documents hold) are few. They are joined again among themselves with frequencies counted over their whole
-sets, rarest tokens first. What is mostly heavy even so is linked through leaders of the heavy lists, and every pair of
-such documents whose ends the links have not yet brought together is then verified, in blocks: no link between
-different components is lost, and links inside a component are not needed to know it.
+sets, rarest tokens first. What is mostly heavy even so is verified with all that share a light token, and linked
+through leaders of the heavy lists; every pair of such documents that heavy tokens chain together and whose ends the
+links have not yet joined is then verified, in blocks. Similar ones share a light or a heavy token of their prefixes, so
+no link between different components is lost, and links inside a component are not needed to know it.
 """
 
 from __future__ import annotations
@@ -206,14 +207,17 @@ def _similar_sizes(percent: int):
     return (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
 
 
-def _candidates(plans: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of rows that share as many light tokens as the shorter of their reaches needs."""
+def _candidates(plans: DataFrame, percent: int, uncovered: bool = False) -> DataFrame:
+    """(a, b) of rows that share as many light tokens as the shorter of their reaches needs.
+
+    With uncovered, also those of two rows that are not covered and share any light token.
+    """
     entries = plans.select("row", "n", "reach", "need", "covered", F.explode("token").alias("token"))
     x, y = entries.alias("x"), entries.alias("y")
     x_rules = F.col("x.covered") & (~F.col("y.covered") | (F.col("x.reach") <= F.col("y.reach")))
     y_rules = F.col("y.covered") & (~F.col("x.covered") | (F.col("y.reach") <= F.col("x.reach")))
     need = F.greatest(F.when(x_rules, F.col("x.need")).otherwise(0), F.when(y_rules, F.col("y.need")).otherwise(0))
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.row") < F.col("y.row")) & _similar_sizes(percent) & (F.col("x.covered") | F.col("y.covered")))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.row") < F.col("y.row")) & _similar_sizes(percent) & (F.lit(uncovered) | F.col("x.covered") | F.col("y.covered")))
     return met.groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b"), need.alias("least")).agg(F.count("*").alias("k")).where("k >= least").select("a", "b")
 
 
@@ -236,7 +240,7 @@ def _leader_links(heavy: DataFrame, sets: DataFrame, percent: int, turn: int) ->
 
 
 def _clusters(heavy: DataFrame, work: Workspace) -> DataFrame:
-    """(row, cluster): mostly heavy documents that a chain of shared heavy prefix tokens joins. Similar ones are in one."""
+    """(row, cluster): mostly heavy documents that a chain of shared heavy prefix tokens joins. Similar ones that share no light token are in one."""
     entries = heavy.select("row", F.explode("heavy").alias("token"))
     hubs = entries.groupBy("token").agg(F.min("row").alias("hub"))
     links = work.put("hubs", entries.join(hubs, "token").where("row <> hub").select(F.col("row").alias("a"), F.col("hub").alias("b")).distinct())
@@ -332,7 +336,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     crowd = sets.join(plans.where("not covered").select("row"), "row", "left_semi")
     again = work.put("again", _shared(crowd.select("row", "n", F.explode("tokens").alias("token"))).mapInArrow(_whole_plans(percent), PLAN_TYPES))
-    links = work.put("links0", verified(pairs.union(_candidates(again, percent)).distinct(), sets, percent))
+    links = work.put("links0", verified(pairs.union(_candidates(again, percent, uncovered=True)).distinct(), sets, percent))
     heavy = again.where("not covered").select("row", "n", "heavy")
     crowded = not heavy.isEmpty()
     if crowded:

@@ -119,6 +119,22 @@ def test_jaccard_against_brute_force(spark):
     assert J.jaccard_components(spark.createDataFrame([], DOCS)).isEmpty()
 
 
+def test_jaccard_of_heavy_documents_that_share_light_tokens(spark):
+    """Pairs with own words, a passage that all hold, and one of two tails, whose heavy prefix tokens differ."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    first = lambda words: J.shingles(" ".join(words).encode(), 5)[0]
+    passage = fresh(74)
+    tails = []
+    while len(tails) < 2:
+        tail = fresh(10)
+        if first(passage[-4:] + tail) < first(passage):
+            tails.append(tail)
+    rows = [(10 * g + i, " ".join(own + passage + tail)) for g in range(30) for own in [fresh(20)] for i, tail in enumerate(tails)]
+    got = sorted(tuple(r) for r in J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(components_of(rows)) == sorted((d, 100, d - d % 10) for d, _ in rows)
+
+
 def test_plan_keeps_the_lemma():
     """Whatever is heavy, similar sets that are covered meet in the light tokens their plans ask for."""
     rng = np.random.default_rng(5)

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from meshwork import catalog
 from meshwork.operators import coarsening, communities, layout
 from meshwork.operators import graph as G
 from meshwork.operators.ranks import prefix_sum
@@ -48,6 +49,12 @@ def test_golden_projections(spark, name, rule, expected):
     assert levels(louvain(projection(spark, SMALL, name), rule)) == expected
 
 
+def test_largest_graph_runs_all_phases(spark):
+    """The registered run goes on after the first contraction."""
+    ends = [catalog.queries()[n](spark, SMALL).select("community").distinct().count() for n in ("louvain_local_po_phase0", "louvain_local_po")]
+    assert ends[1] < ends[0]
+
+
 def test_delta_equals_direct_and_doubles_equal_longs(spark):
     rows = [(a, b, 1) for a, b in CLIQUES]
     runs = [louvain(graph(spark, rows), weight_update="delta"), louvain(graph(spark, rows)), louvain(graph(spark, [(a, b, 1.0) for a, b, _ in rows], kind="double"))]

@@ -47,8 +47,8 @@ IMPLIED = {
 #: An end tag does not reach beyond these.
 WALL = frozenset(["td", "th", "caption", "table"])
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
-STOP = re.compile(r"[>\"']")
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: A quote opens a value only after "=" and white space, and where it is closed somewhere; elsewhere it is a sign like others.
+ATTRIBUTE = re.compile(r"""[ \t\n\r\f/]*+([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>]*+)))?""")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 NONE = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -57,7 +57,6 @@ VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 def tokens(source: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("start", tag, attributes as written), ("end", tag, "") in order."""
     at, n = 0, len(source)
-    unclosed: set[str] = set()  # quotes that do not occur any more
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
@@ -78,22 +77,13 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
                 yield "text", "<", ""
                 at = lt + 1
             continue
-        end = m.end()
-        while True:
-            stop = STOP.search(source, end)
-            if not stop:
-                end = n
-                break
-            sign = stop[0]
-            if sign == ">":
-                end = stop.start()
-                break
-            close = -1 if sign in unclosed else source.find(sign, stop.end())
-            if close < 0:
-                unclosed.add(sign)
-                end = stop.end()
-            else:
-                end = close + 1
+        end = source.find(">", m.end())
+        if end < 0 or source.find('"', m.end(), end) >= 0 or source.find("'", m.end(), end) >= 0:
+            end = m.end()
+            while a := ATTRIBUTE.match(source, end):
+                end = a.end()
+            end = source.find(">", end)
+        end = n if end < 0 else end
         tag = m[2].lower()
         at = end + 1
         if m[1]:

@@ -46,6 +46,20 @@ def test_html(source, text):
     assert html_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ('<img alt="5" tall">First visible text. <a href="/a">one</a> <p class="z">last paragraph</p> tail', "First visible text. one\n\nlast paragraph\n\ntail"),
+        ("<p title=it's>Text one.</p><p>Text two don't stop.</p>", "Text one.\n\nText two don't stop."),
+        ("<p a'b c=\"x > y\" 'd>e</p><p>f's</p>", "e\n\nf's"),
+        ("<p title = 'x > y'hidden>a</p><p title=\"'\" =hidden>b</p>", "b"),
+        ("</p \">a</p x='>'>b\"", "a\n\nb\""),
+    ],
+)
+def test_html_stray_quotes(source, text):
+    assert html_text(source) == text
+
+
 def test_html_stays_fast_and_whole():
     for evil in ("<b>" * 50000, '<a "' * 50000, "<table><tr><td>" * 2000, "<ul><li>" * 2000 + "x", "<" * 50000, "<div><p>" * 20000 + "y"):
         html_text(evil)

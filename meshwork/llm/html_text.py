@@ -22,10 +22,14 @@ from meshwork.llm.common import lean
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags whose content is text up to their end tag.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head script style title template noscript noembed noframes iframe datalist audio video canvas object svg math".split())
+HIDDEN = frozenset("head script style title template noscript noembed noframes iframe datalist audio video canvas object".split())
+#: Tags that have a sense of their own within svg and math, where they are named with a slash: not drawn, or a line.
+UNDRAWN = frozenset("annotation annotation-xml clippath defs desc marker mask metadata pattern symbol".split())
+FOREIGN = UNDRAWN | {"text"}
+HIDDEN |= {f"{t}/" for t in UNDRAWN}
 #: Blocks with an empty line around, and blocks that only begin a line.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table blockquote pre figure hr address fieldset".split())
-LINED = frozenset("html body div section article aside header footer main nav form li dt dd tr td th thead tbody tfoot caption figcaption details summary hgroup center legend option optgroup dialog search".split())
+LINED = frozenset("html body div section article aside header footer main nav form li dt dd tr td th thead tbody tfoot caption figcaption details summary hgroup center legend option optgroup dialog search text/".split())
 BLOCK = SPACED | LINED
 ENDS_P = (SPACED | frozenset("article aside center details dialog dir div figcaption footer form header hgroup main nav section summary li dd dt".split()))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -55,8 +59,12 @@ VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 
 
 def tokens(source: str) -> Iterator[tuple[str, str, str]]:
-    """("text", text, ""), ("start", tag, attributes as written), ("end", tag, "") in order."""
+    """("text", text, ""), ("start", tag, attributes as written), ("end", tag, "") in order.
+
+    Within svg and math a tag may close itself, and CDATA is text.
+    """
     at, n = 0, len(source)
+    foreign = 0  # open svg and math
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
@@ -68,6 +76,11 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
             end = source.find("-->", lt + 4)
             at = n if end < 0 else end + 3
             continue
+        if foreign and source.startswith("<![CDATA[", lt):
+            end = source.find("]]>", lt + 9)
+            yield "text", source[lt + 9 : n if end < 0 else end].replace("&", "&amp;"), ""
+            at = n if end < 0 else end + 3
+            continue
         m = NAME.match(source, lt + 1)
         if not m:
             if source[lt + 1 : lt + 2] in ("!", "?", "/"):
@@ -77,19 +90,25 @@ def tokens(source: str) -> Iterator[tuple[str, str, str]]:
                 yield "text", "<", ""
                 at = lt + 1
             continue
-        end = source.find(">", m.end())
-        if end < 0 or source.find('"', m.end(), end) >= 0 or source.find("'", m.end(), end) >= 0:
-            end = m.end()
-            while a := ATTRIBUTE.match(source, end):
-                end = a.end()
-            end = source.find(">", end)
-        end = n if end < 0 else end
         tag = m[2].lower()
+        outer = tag in ("svg", "math")
+        last, end = m.end(), source.find(">", m.end())
+        if end < 0 or foreign or outer or source.find('"', last, end) >= 0 or source.find("'", last, end) >= 0:
+            while a := ATTRIBUTE.match(source, last):
+                last = a.end()
+            end = source.find(">", last)
+        end = n if end < 0 else end
         at = end + 1
+        name = f"{tag}/" if foreign and tag in FOREIGN else tag
         if m[1]:
-            yield "end", tag, ""
+            foreign -= outer and foreign > 0
+            yield "end", name, ""
+            continue
+        yield "start", name, source[m.end() : end]
+        if (foreign or outer) and source.endswith("/", last, end):
+            yield "end", name, ""
             continue
-        yield "start", tag, source[m.end() : end]
+        foreign += outer
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
             yield "text", source[at : close.start() if close else n], ""

@@ -60,6 +60,19 @@ def test_html_stray_quotes(source, text):
     assert html_text(source) == text
 
 
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='TeX'>x=1</annotation></semantics></math> holds", "so x=1 holds"),
+        ("<svg><title>t</title><desc>d</desc><defs><text>u</text></defs><g/><text x=1>one</text><text>two <tspan>three</tspan></text></svg>four", "one\ntwo three\nfour"),
+        ("<svg><defs/><style/><path d=a/><text><![CDATA[a & <b>]]></text></svg><svg/><desc>c</desc>", "a & <b>\nc"),
+        ("<svg><metadata>m<text>n</svg>o", "o"),
+    ],
+)
+def test_html_math_and_svg(source, text):
+    assert html_text(source) == text
+
+
 def test_html_stays_fast_and_whole():
     for evil in ("<b>" * 50000, '<a "' * 50000, "<table><tr><td>" * 2000, "<ul><li>" * 2000 + "x", "<" * 50000, "<div><p>" * 20000 + "y"):
         html_text(evil)

@@ -1,8 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 The inverse document frequencies of the templates' terms are counted over all files, as sums per partition, so their number is that
-of the terms and not of the files. Every line, every run of lines without an empty one between, and the whole
-of each file is then compared with all templates. A file with a match has that licence from its header; a licence file
+of the terms and not of the files. Every line, every run of lines without one between that has no terms, every sentence of such a
+run, every window of as many terms as a template has, and the whole of each file is then compared with the
+templates. What cannot reach the least score is left out by bounds that hold for every part of a text. A file with a match has that licence from its header; a licence file
 gives its licence to its directory; a file without one inherits that of the nearest directory above it, by joins over
 paths.
 """
@@ -14,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +56,9 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 TERM = re.compile(r"[a-z0-9]+(?:[.-][0-9]+)*")
+SENTENCE = re.compile(r"[.!?;:]\s")
+#: Bounds are computed in another order than scores; this much is allowed for rounding.
+SLACK = 1e-9
 #: What marks a file as its directory's licence, by its name.
 LICENSE_FILE = r"(?i)^(un)?(licen[cs]es?|copying|copyright|notice)([.\-_].*)?$"
 TERM_TYPES = "term string, n long"
@@ -95,11 +100,13 @@ class Matcher:
     def __init__(self, templates: dict[str, list[str]], idf: dict[str, float], rare: float):
         self.idf, self.rare = idf, rare
         self.vectors = []
+        self.lengths = []
         for name, texts in sorted(templates.items()):
             for text in texts:
                 weights = {t: c * idf[t] for t, c in Counter(terms(text)).items()}
                 norm = math.sqrt(sum(w * w for w in weights.values()))
                 self.vectors.append((name, {t: w / norm for t, w in weights.items()}))
+                self.lengths.append(len(terms(text)))
         self.by_term: dict[str, list[tuple[int, float]]] = {}
         for i, (_, vector) in enumerate(self.vectors):
             for t, w in vector.items():
@@ -122,41 +129,96 @@ class Matcher:
         i = min(dots, key=lambda j: (-dots[j], self.vectors[j][0]))
         return dots[i] / math.sqrt(norm), self.vectors[i][0]
 
-    def could(self, counts: Counter) -> bool:
-        """Whether a text has any term of a template."""
-        return not self.idf.keys().isdisjoint(counts)
+    def cosine(self, i: int, counts: Counter) -> float:
+        """The cosine to template i."""
+        vector = self.vectors[i][1]
+        weights = {t: c * self.idf.get(t, self.rare) for t, c in counts.items()}
+        return sum(w * vector.get(t, 0.0) for t, w in weights.items()) / math.sqrt(sum(w * w for w in weights.values()))
+
+    def could(self, present: set[str], least: float) -> list[int]:
+        """The templates that some part of a text with these terms could match.
+
+        By Cauchy-Schwarz no part has a higher cosine than the length of the template's vector over the terms that are there.
+        """
+        held: dict[int, float] = {}
+        for t in self.idf.keys() & present:
+            for i, v in self.by_term[t]:
+                held[i] = held.get(i, 0.0) + v * v
+        return sorted(i for i, h in held.items() if h >= least * least - SLACK)
+
+    def windows(self, i: int, found: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows of template i's length that could reach least, and their bounds, the highest first.
+
+        A term's weights in a window add up before they are squared, so the sum of the squares bounds the norm from below.
+        """
+        size, (_, vector) = self.lengths[i], self.vectors[i]
+        weights = np.array([self.idf.get(t, self.rare) for t in found])
+        dots = np.cumsum(np.concatenate([[0.0], weights * [vector.get(t, 0.0) for t in found]]))
+        squares = np.cumsum(np.concatenate([[0.0], weights * weights]))
+        bounds = (dots[size:] - dots[:-size]) / np.sqrt(np.maximum(squares[size:] - squares[:-size], SLACK)) + SLACK
+        starts = np.flatnonzero(bounds >= least)
+        starts = starts[np.argsort(-bounds[starts], kind="stable")]
+        return starts, bounds[starts]
 
 
 def matches(text: str, matcher: Matcher, least: float) -> dict[str, tuple[float, int]]:
     """Of each licence found in a text the best score and the first line (from 0) of the place."""
+    text = text.lower()
+    found = TERM.findall(text)
+    likely = matcher.could(set(found), least)
+    if not likely:
+        return {}
     out: dict[str, tuple[float, int]] = {}
 
+    def keep(score: float, name: str, line: int) -> None:
+        if score >= least and (name not in out or (score, -line) > (out[name][0], -out[name][1])):
+            out[name] = score, line
+
     def add(counts: Counter, line: int) -> None:
-        if matcher.could(counts):
-            score, name = matcher.best(counts)
-            if score >= least and score > out.get(name, (0.0, 0))[0]:
-                out[name] = score, line
-
-    whole: Counter = Counter()
-    run: Counter = Counter()
-    first, n_lines = 0, 0
-    lines = text.lower().split("\n")
+        if not matcher.idf.keys().isdisjoint(counts):
+            keep(*matcher.best(counts), line)
+
+    run: list[str] = []
+    first = 0
+    lines = text.split("\n")
+    places: list[int] = []  # the line of each term
     for i, line in enumerate([*lines, ""]):
-        own = Counter(TERM.findall(line))
+        own = TERM.findall(line)
         if own:
-            add(own, i)
-            run.update(own)
-            n_lines += 1
-        elif not line.strip():
-            if 1 < n_lines < len(lines):
-                add(run, first)
-            whole.update(run)
-            run, first, n_lines = Counter(), i + 1, 0
+            places += [i] * len(own)
+            add(Counter(own), i)
+            run.append(line)
+            continue
+        if run:
+            if 1 < len(run) < len(lines):
+                add(Counter(TERM.findall("\n".join(run))), first)
+            at = first
+            for part, gap in _sentences("\n".join(run)):
+                add(Counter(TERM.findall(part)), at + len(part[: m.start()].split("\n")) - 1 if (m := TERM.search(part)) else at)
+                at += (part + gap).count("\n")
+        run, first = [], i + 1
     if len(lines) > 1:
-        add(whole, 0)
+        add(Counter(found), 0)
+    for i in likely:
+        name, size = matcher.vectors[i][0], matcher.lengths[i]
+        if size > len(found):
+            continue
+        for start, bound in zip(*(a.tolist() for a in matcher.windows(i, found, least)), strict=True):
+            if bound < out.get(name, (0.0, 0))[0]:
+                break
+            keep(matcher.cosine(i, Counter(found[start : start + size])), name, places[start])
     return out
 
 
+def _sentences(text: str) -> Iterator[tuple[str, str]]:
+    """The sentences of a text, each with the mark and white space that end it."""
+    at = 0
+    for m in SENTENCE.finditer(text):
+        yield text[at : m.start()], m[0]
+        at = m.end()
+    yield text[at:], ""
+
+
 def _matches(templates: dict[str, list[str]], idf: dict[str, float], rare: float, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, idf, rare)

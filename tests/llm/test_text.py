@@ -228,6 +228,36 @@ def test_places():
     assert matches("x\n" * 50000 + "Released under the MIT License.", matcher, 0.75)["MIT"][1] == 50000
 
 
+def test_licences_inside_longer_text():
+    matcher = Matcher(TEMPLATES, dict.fromkeys(license_scan.vocabulary(TEMPLATES), 2.0), 4.0)
+    rng = random.Random(9)
+    mit, apache, gpl = TEMPLATES["MIT"], TEMPLATES["Apache-2.0"], TEMPLATES["GPL-3.0"]
+    filler = lambda n: " ".join(f"word{rng.randrange(1000)}" for _ in range(n))
+    for text, name, line in [
+        ("code\nCopyright (c) 2020 Example Corp. Released under the MIT License.", "MIT", 1),
+        ("Copyright 2019 The Foo Authors. All rights reserved. " + apache[0], "Apache-2.0", 0),
+        (f"{filler(7)} {mit[0]} {filler(7)}", "MIT", 0),
+        (f"{filler(3000)} {mit[1]} {filler(3000)}", "MIT", 0),
+        (f"# {filler(40)}\n#\n# " + gpl[1].replace(" ", "\n# ", 9) + f"\n#\n# {filler(40)}", "GPL-3.0", 2),
+    ]:
+        score, at = matches(text, matcher, 0.75)[name]
+        assert score > 0.99 and at == line
+    # no window or sentence is left out by the bounds
+    for _ in range(100):
+        words = [rng.choice([*terms(mit[0]), *terms(apache[0]), "other"]) for _ in range(30)]
+        text = " ".join(words)
+        got = matches(text, matcher, 0.75)
+        score, name = matcher.best(Counter(words))
+        want = {name: score} if score >= 0.75 else {}
+        for (name, _), size in zip(matcher.vectors, matcher.lengths, strict=True):
+            for i in range(len(words) - size + 1):
+                score = brute_best(" ".join(words[i : i + size]), matcher.idf, matcher.rare, {name: [t for t in TEMPLATES[name] if len(terms(t)) == size]})[name]
+                if score >= 0.75:
+                    want[name] = max(want.get(name, 0), score)
+        assert {k: round(v, 9) for k, (v, _) in got.items()} == {k: round(v, 9) for k, v in want.items()}
+    assert matches(" ".join(["mit license"] * 50000), matcher, 0.75) is not None
+
+
 def test_inheritance(spark):
     mit, gpl = TEMPLATES["MIT"][0], TEMPLATES["GPL-3.0"][0]
     rows = [(1, "LICENSE", mit), (2, "a.py", "x"), (3, "d/e/b.py", "y"), (4, "d/COPYING", gpl), (5, "d/e/f/c.py", "# " + TEMPLATES["CC-BY-4.0"][0] + "\ncode"), (6, None, "z"), (7, "d/e/b.py", None), (3, "d/e/b.py", "y")]

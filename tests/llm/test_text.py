@@ -148,6 +148,20 @@ def test_propagation(spark):
     assert seen == {"allow", "block"}
 
 
+def test_propagation_reaches_every_host(spark):
+    """A chain of 14 links to a blocked host, a loop on the way, and trust that comes round a longer way."""
+    hosts = ["bad.com", *(f"c{i}.info" for i in range(14))]
+    links = [(b, a) for a, b in zip(hosts, hosts[1:])] + [("c3.info", "c9.info"), ("good.example.com", "d0.info"), ("alone.info", "none.info")]
+    links += [(f"d{i}.info", f"d{i + 1}.info") for i in range(12)] + [("d12.info", "c2.info"), ("c2.info", "c1.info")]
+    rows = [(i, f"https://{s}{'/en/7' if s.startswith('good') else '/en/1'}", f'<a href="https://{d}/x">') for i, (s, d) in enumerate(links)] + [(99, "https://bad.com/en/1", "")]
+    edges = Counter(links)
+    trust = brute_rank(edges, {"good.example.com": 1.0}, 400)
+    distrust = brute_rank({(d, s): w for (s, d), w in edges.items()}, {"bad.com": 1.0}, 400)
+    found = {r.host: r.verdict for r in url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect() if r.rule is None}
+    assert found == {h: "block" if distrust.get(h, 0) > 0.5 * (trust.get(h, 0) + distrust.get(h, 0)) else "allow" for h in found}
+    assert found["c13.info"] == "block" and found["alone.info"] == "allow"
+
+
 # Chat formatting
 
 

@@ -12,7 +12,7 @@ from meshwork.operators import coarsening, communities, layout
 from meshwork.operators import graph as G
 from meshwork.operators.ranks import dense_ids
 from meshwork.plans.louvain import louvain
-from meshwork.sources.matrix_market import read_mtx, write_mtx
+from meshwork.sources.matrix_market import read_entries, read_mtx, write_entries, write_mtx
 from meshwork.sources.projections import projection, table
 from meshwork.sources.random_graph import random_graph
 from meshwork.workspace import Workspace
@@ -20,6 +20,10 @@ from meshwork.workspace import Workspace
 Query = Callable[[SparkSession, str], DataFrame]
 #: A general file with entries above, on and below the diagonal.
 GENERAL = "%%MatrixMarket matrix coordinate real general\n% comment\n4 4 6\n1 1 5.0\n2 1 1.5\n1 2 9.0\n3 1 2.0\n4 3 0.5\n2 4 7.0\n"
+#: A symmetric file: the diagonal counts once, and every weight is 1.
+SYMMETRIC = "%%MatrixMarket matrix coordinate real symmetric\n%\n\n4 4 5\n1 1 5.0\n2 1 2.0\n3 2 4.0\n3 2 1.5\n4 1 0.5\n"
+#: Complex entries.
+COMPLEX = "%%MatrixMarket matrix coordinate complex general\n2 3 3\n1 1 1.5 -2\n2 3 0 4.25\n1 2 -3 0\n"
 TRIANGLES = [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (2, 3)]
 
 
@@ -32,7 +36,7 @@ def edges_lower_triangle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_summary(spark: SparkSession, d: str) -> DataFrame:
-    return G.summary(projection(spark, d, "po"))
+    return G.summary(_graph(spark, d, "po"))
 
 
 def total_mass(spark: SparkSession, d: str) -> DataFrame:
@@ -62,29 +66,33 @@ def degree_bins_numeric(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edge_partition_4(spark: SparkSession, d: str) -> DataFrame:
-    return layout.edge_partition(projection(spark, d, "ps"), 4)
+    return layout.edge_partition(_graph(spark, d, "ps"), 4)
 
 
 def locate_vertex(spark: SparkSession, d: str) -> DataFrame:
-    return layout.locate(projection(spark, d, "ps"), 4)
+    return layout.locate(_graph(spark, d, "ps"), 4)
+
+
+def _graph(spark: SparkSession, d: str, name: str) -> G.Graph:
+    """A projection whose edges are written once, for plans that read them more than once."""
+    return G.Graph(Workspace(spark, name).put("edges", projection(spark, d, name).edges))
 
 
 def _quality(graph: G.Graph, state: DataFrame) -> DataFrame:
     """(inside, squares, mass, q) of a state, as one row."""
-    inside, square = communities.modularity_parts(graph.edges, state)
-    total = G.mass(graph.edges)
-    row = [(int(inside), int(square), int(total), round(communities.quality(inside, square, total), 9))]
-    return graph.edges.sparkSession.createDataFrame(row, "inside long, squares long, mass long, q double")
+    inside, square, m = (F.col(c).cast("double") for c in ("inside", "squares", "mass"))
+    parts = communities.modularity_parts(graph.edges, state)
+    return parts.select(F.col("inside").cast("long"), F.col("squares").cast("long"), F.col("mass").cast("long"), F.round(inside / m - square / (m * m), 9).alias("q"))
 
 
 def modularity_singleton(spark: SparkSession, d: str) -> DataFrame:
-    graph = projection(spark, d, "po")
+    graph = _graph(spark, d, "po")
     return _quality(graph, communities.initial_state(graph))
 
 
 def _regions(spark: SparkSession, d: str) -> tuple[G.Graph, DataFrame]:
     """The nations' graph, with the smallest nation of each region as its community."""
-    graph = projection(spark, d, "nt")
+    graph = _graph(spark, d, "nt")
     nation = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("v"), "n_regionkey")
     first = nation.groupBy("n_regionkey").agg(F.min("v").alias("com"))
     return graph, communities.with_labels(graph, nation.join(first, "n_regionkey").select("v", "com"))
@@ -109,17 +117,11 @@ def move_candidates(spark: SparkSession, d: str) -> DataFrame:
     return communities.candidates(communities.neighbor_weights(graph.edges, state), communities.community_weight(state), G.mass(graph.edges))
 
 
-def _sweep(graph: G.Graph, state: DataFrame, rule: str, up: bool) -> DataFrame:
-    near = communities.neighbor_weights(graph.edges, state)
-    return communities.best_move(near, state, communities.community_weight(state), G.mass(graph.edges), rule, up)
-
-
 def _best_move(rule: str, up: bool) -> Query:
     """Moves of the nations from their regions' communities."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        graph, state = _regions(spark, d)
-        return _sweep(graph, state, rule, up).select("v", "com")
+        return communities.best_move(*_regions(spark, d), rule, up).select("v", "com")
 
     return query
 
@@ -128,18 +130,16 @@ def _best_move_start(rule: str, up: bool) -> Query:
     """Moves of parts and orders from communities of their own."""
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        graph = projection(spark, d, "po")
-        return _sweep(graph, communities.initial_state(graph), rule, up).select("v", "com")
+        graph = _graph(spark, d, "po")
+        return communities.best_move(graph, communities.initial_state(graph), rule, up).select("v", "com")
 
     return query
 
 
 def _swept(spark: SparkSession, d: str, name: str) -> tuple[G.Graph, DataFrame]:
     """A graph and its state after one sweep up by rule local, both written once."""
-    work = Workspace(spark, "swept")
-    graph = projection(spark, d, name)
-    graph = G.Graph(work.put("edges", graph.edges), work.put("vertices", graph.vertices))
-    return graph, work.put("state", _sweep(graph, communities.initial_state(graph), "local", True))
+    graph = _graph(spark, d, name)
+    return graph, Workspace(spark, "swept").put("state", communities.best_move(graph, communities.initial_state(graph), "local", True))
 
 
 def community_weight_direct(spark: SparkSession, d: str) -> DataFrame:
@@ -193,11 +193,10 @@ def coarse_invariants(spark: SparkSession, d: str) -> DataFrame:
 def sweep_trace_k3(spark: SparkSession, d: str) -> DataFrame:
     """The users' graph through three sweeps in alternating direction: (loop, inside, squares, mass, q)."""
     work = Workspace(spark, "sweeps")
-    graph = projection(spark, d, "uc")
-    graph = G.Graph(work.put("edges", graph.edges), work.put("vertices", graph.vertices))
+    graph = _graph(spark, d, "uc")
     state, rows = communities.initial_state(graph), []
     for i in range(3):
-        state = work.put(f"state{i}", _sweep(graph, state, "local", i % 2 == 0))
+        state = work.put(f"state{i}", communities.best_move(graph, state, "local", i % 2 == 0))
         rows.append(_quality(graph, state).select(F.lit(i + 1).alias("loop"), "*"))
     return rows[0].union(rows[1]).union(rows[2])
 
@@ -209,8 +208,19 @@ def _run(name: str, rule: str, max_phases: int = 1000) -> Query:
     return query
 
 
-def louvain_levels_ps(spark: SparkSession, d: str) -> DataFrame:
-    return louvain(projection(spark, d, "ps")).levels_frame()
+def _levels(name: str, rule: str, **options) -> Query:
+    """The phases of a run: vertices, edges, sweeps and modularity, which is rounded."""
+
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        return louvain(projection(spark, d, name), rule, **options).levels_frame().withColumn("q", F.round("q", 9))
+
+    return query
+
+
+def louvain_trace_ps(spark: SparkSession, d: str) -> DataFrame:
+    """The sweeps of a run with weights by their changes: modularity and its gain, both rounded."""
+    rows = louvain(projection(spark, d, "ps"), weight_update="delta").trace_frame()
+    return rows.select("phase", "loop", F.round("q", 9).alias("q"), F.round("dq", 9).alias("dq"))
 
 
 def louvain_two_triangles(spark: SparkSession, d: str) -> DataFrame:
@@ -218,20 +228,41 @@ def louvain_two_triangles(spark: SparkSession, d: str) -> DataFrame:
     return louvain(G.from_edges(pairs)).membership
 
 
+def _written(spark: SparkSession, content: str) -> tuple[Workspace, str]:
+    work = Workspace(spark, "mtx")
+    spark.createDataFrame([(line,) for line in content.splitlines()], "value string").coalesce(1).write.text(work.at("file"))
+    return work, work.at("file")
+
+
 def mtx_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """The rows of a general file written and read again."""
-    work = Workspace(spark, "mtx")
-    lines = [(line,) for line in GENERAL.splitlines()]
-    spark.createDataFrame(lines, "value string").coalesce(1).write.text(work.at("general"))
-    graph = read_mtx(spark, work.at("general"))
-    write_mtx(graph.edges, work.at("again"), 4)
+    work, path = _written(spark, GENERAL)
+    write_mtx(read_mtx(spark, path).edges, work.at("again"), 4)
     return read_mtx(spark, work.at("again")).edges
 
 
+def mtx_symmetric(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a symmetric file: as loaders weigh them, and with the file's own weights."""
+    _, path = _written(spark, SYMMETRIC)
+    plain, own = read_mtx(spark, path).edges, read_mtx(spark, path, symmetric_weights=None).edges
+    return plain.select("src", "dst", "w", F.lit(False).alias("own")).union(own.select("src", "dst", "w", F.lit(True)))
+
+
+def mtx_complex(spark: SparkSession, d: str) -> DataFrame:
+    """Complex entries as they stand, written and read again."""
+    work, path = _written(spark, COMPLEX)
+    write_entries(read_entries(spark, path), work.at("again"), 2, 3, "complex")
+    return read_entries(spark, work.at("again"))
+
+
+def bin_order_move(spark: SparkSession, d: str) -> DataFrame:
+    return layout.bin_order(G.degrees(projection(spark, d, "po")), "move")
+
+
 def mtx_export_ps(spark: SparkSession, d: str) -> DataFrame:
     """The part-supplier graph, ids made dense, written as a general file and read again."""
     work = Workspace(spark, "mtx")
-    graph = projection(spark, d, "ps")
+    graph = _graph(spark, d, "ps")
     ids = work.put("ids", dense_ids(graph.vertices, "v"))
     labels = ids.select("v", F.col("dense").alias("label"))
     write_mtx(coarsening.contract(graph.edges, labels), work.at("out"), ids.count())
@@ -248,7 +279,7 @@ def queries() -> dict[str, Query]:
         edges_symmetric, edges_lower_triangle, graph_summary, total_mass, vertex_weight, csr_offsets, degree_bins_move, degree_bins_symbolic, degree_bins_numeric,
         edge_partition_4, locate_vertex, modularity_singleton, modularity_labels, neighbor_community_weight, internal_weight, move_candidates,
         community_weight_direct, community_weight_delta, renumber_communities, community_size, community_degree_bound, community_degree_exact,
-        reorder_vertices, even_partition, coarse_edges, coarse_invariants, sweep_trace_k3, louvain_levels_ps, louvain_two_triangles, mtx_roundtrip, mtx_export_ps,
+        reorder_vertices, even_partition, coarse_edges, coarse_invariants, sweep_trace_k3, louvain_trace_ps, louvain_two_triangles, mtx_roundtrip, mtx_symmetric, mtx_complex, mtx_export_ps, bin_order_move,
     )
     out = {f.__name__: f for f in plain}
     for rule in communities.RULES:
@@ -260,6 +291,8 @@ def queries() -> dict[str, Query]:
             out[f"louvain_{rule}_{name}"] = _run(name, rule)
         # the largest graph's first phase alone
         out[f"louvain_{rule}_po_phase0"] = _run("po", rule, 1)
+        out[f"louvain_{rule}_ps_two_sweeps"] = _levels("ps", rule, max_iter=2, max_phases=2)
+        out[f"louvain_levels_ps_{rule}"] = _levels("ps", rule)
     return out | {"random_graph": random_graph_40}
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.operators.graph import Graph
-from meshwork.operators.ranks import dense_ids, prefix_sum
+from meshwork.operators.ranks import dense_ids, places
 
 
 def renumber(state: DataFrame) -> DataFrame:
@@ -38,11 +38,11 @@ def community_degree_exact(edges: DataFrame, state: DataFrame) -> DataFrame:
 
 def reorder(state: DataFrame) -> DataFrame:
     """(v, com, position): vertices by community, then by id."""
-    ranked = prefix_sum(state.select("v", "com").withColumn("one_", F.lit(1).cast("long")), ["com", "v"], "one_", "upto_")
-    return ranked.select("v", "com", (F.col("upto_") - 1).alias("position"))
+    return places(state.select("v", "com"), ["com", "v"], "position")
 
 
 def coarsen(graph: Graph, state: DataFrame) -> tuple[Graph, DataFrame]:
     """The graph of communities, densely numbered, and the labels (v, label) that lead to it."""
     labels = renumber(state).select("v", F.col("dense").alias("label"))
-    return Graph(contract(graph.edges, labels), labels.select(F.col("label").alias("v")).distinct()), labels
+    more = None if graph.more is None else labels.select(F.col("label").alias("v")).distinct()
+    return Graph(contract(graph.edges, labels), more), labels

@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from meshwork.workspace import Workspace
 
 #: Up to so many rows one sorted window is cheaper than a ranged table.
-ONE_WINDOW = 100_000
+ONE_WINDOW = 250_000
 
 
 def prefix_sum(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """df with the inclusive running sum of value in order of keys, which must tell all rows apart.
 
-    Rows are dealt into ranges of the keys, written, and summed range by range; what the ranges before add is one
+    Rows are written once, dealt into ranges of the keys, and summed range by range; what the ranges before add is one
     number for each range.
     """
-    if df.count() <= ONE_WINDOW:
-        return df.withColumn(out, F.sum(value).over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)))
     work = Workspace(df.sparkSession, "ranks")
-    ranged = work.put("ranged", df.repartitionByRange(*keys).withColumn("range_", F.spark_partition_id()))
+    rows = work.put("rows", df)
+    if rows.count() <= ONE_WINDOW:
+        return rows.withColumn(out, F.sum(value).over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)))
+    ranged = work.put("ranged", rows.repartitionByRange(*keys).withColumn("range_", F.spark_partition_id()))
+    work.drop("rows")
     sums = sorted(ranged.groupBy("range_").agg(F.sum(value)).collect())
     before, total = [], 0
     for range_, n in sums:
@@ -31,7 +33,12 @@ def prefix_sum(df: DataFrame, keys: list[str], value: str, out: str) -> DataFram
     return ranged.withColumn(out, local).join(starts, "range_").withColumn(out, F.col(out) + F.col("before_")).drop("range_", "before_")
 
 
+def places(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """df with each row's place from 0 in order of keys, which must tell all rows apart."""
+    ranked = prefix_sum(df.withColumn("one_", F.lit(1).cast("long")), keys, "one_", out)
+    return ranked.withColumn(out, F.col(out) - 1).drop("one_")
+
+
 def dense_ids(ids: DataFrame, column: str) -> DataFrame:
     """(column, dense): the distinct ids, numbered from 0 in their order."""
-    ranked = prefix_sum(ids.select(column).distinct().withColumn("one_", F.lit(1).cast("long")), [column], "one_", "upto_")
-    return ranked.select(column, (F.col("upto_") - 1).alias("dense"))
+    return places(ids.select(column).distinct(), [column], "dense")

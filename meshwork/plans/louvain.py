@@ -3,29 +3,35 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshwork.operators import communities as C
-from meshwork.operators.coarsening import renumber
-from meshwork.operators.graph import Graph, mass, vertex_weight
+from meshwork.operators.graph import Dealt, Graph, dealt, mass, vertex_weight
+from meshwork.operators.ranks import dense_ids
 from meshwork.workspace import Workspace
 
 TRACE = "phase int, loop int, q double, dq double, seconds double"
 LEVELS = "phase int, vertices long, edges long, loops int, q double"
+TIMES = "phase int, loops_seconds double, seconds_per_loop double, coarsening_seconds double"
 
 
 @dataclass
 class Result:
-    """membership: (v, community), dense ids in order; trace and levels: a row for each sweep and each phase."""
+    """membership: (v, community), dense ids in order; trace, levels and times: a row for each sweep, each phase, each phase.
+
+    totals: seconds of clustering, of coarsening, and of all phases; loading is not counted.
+    """
 
     membership: DataFrame
     trace: list[tuple]
     levels: list[tuple]
     q: float
     phases: int
+    times: list[tuple] = field(default_factory=list)
+    totals: dict[str, float] = field(default_factory=dict)
 
     def trace_frame(self) -> DataFrame:
         return self.membership.sparkSession.createDataFrame(self.trace, TRACE)
@@ -33,19 +39,17 @@ class Result:
     def levels_frame(self) -> DataFrame:
         return self.membership.sparkSession.createDataFrame(self.levels, LEVELS)
 
+    def times_frame(self) -> DataFrame:
+        return self.membership.sparkSession.createDataFrame(self.times, TIMES)
 
-def _state_tables(edges: DataFrame, state: DataFrame, weights: DataFrame, total, work: Workspace, made: int) -> tuple[DataFrame, DataFrame, float]:
-    """The written community weights and neighbour weights of a state, and its modularity.
 
-    They serve the modularity, the next sweep and the contraction, so each is computed once.
-    """
-    weights = work.put(f"weights{made}", weights)
-    near = work.put(f"near{made}", C.neighbor_weights(edges, state))
-    wide = "decimal(38,0)" if dict(state.dtypes)["k"] == "bigint" else "double"
-    a = F.col("a").cast(wide)
-    sums = near.where("dc = com").agg(F.lit("inside").alias("what"), F.sum(F.col("e").cast(wide)).alias("x")).union(weights.agg(F.lit("squares"), F.sum(a * a)))
-    found = {r.what: r.x or 0 for r in sums.collect()}
-    return weights, near, C.quality(found["inside"], found["squares"], total)
+def _contract(edges: Dealt, labels: DataFrame) -> DataFrame:
+    """(src, dst, w) between labels; labels: (v, label)."""
+    cold, hot = edges.lookup(labels.select(F.col("v").alias("dst"), F.col("label").alias("to")))
+    rows = cold if hot is None else cold.unionByName(hot)
+    half = rows.groupBy("src", "to").agg(F.sum("w").alias("w"))
+    whole = half.join(labels.select(F.col("v").alias("src"), "label"), "src")
+    return whole.groupBy(F.col("label").alias("src"), F.col("to").alias("dst")).agg(F.sum("w").alias("w"))
 
 
 def louvain(graph: Graph, rule: str = "local", weight_update: str = "direct", threshold: float = 1e-6, max_iter: int | None = None, max_phases: int = 1000) -> Result:
@@ -53,51 +57,85 @@ def louvain(graph: Graph, rule: str = "local", weight_update: str = "direct", th
 
     A sweep that gains no more than the threshold is discarded and ends its phase. A phase that gains no more ends the run
     before its contraction, its accepted moves included in the membership. max_iter bounds the sweeps of a phase, None
-    is no bound.
+    is no bound. A pass over a state gives its modularity and the state after it, so every state is read once. At any time a
+    run holds the edges of one phase (of two while it contracts), two tables of vertices, and the membership.
     """
     if rule not in C.RULES:
         raise ValueError(f"unsupported rule: {rule}")
     if weight_update not in ("direct", "delta"):
         raise ValueError(f"unsupported weight update: {weight_update}")
-    spark = graph.edges.sparkSession
-    work = Workspace(spark, "louvain")
+    work = Workspace(graph.edges.sparkSession, "louvain")
     edges = work.put("edges0", graph.edges)
-    vertices = work.put("vertices0", graph.vertices)
     total = mass(edges)
-    member = vertices.select("v", F.col("v").alias("at"))
-    q, q_old, phase, made = 0.0, -1.0, 0, 0
+    loose = graph.more is not None
+    if loose:
+        with_edges = edges.select(F.col("src").alias("v")).distinct()
+        alone = work.put("alone0", graph.more.select("v").distinct().join(with_edges, "v", "left_anti"))
+    member: DataFrame | None = None
+    q, q_old, phase = 0.0, -1.0, 0
     trace: list[tuple] = []
     levels: list[tuple] = []
+    times: list[tuple] = []
+    began_all = time.time()
     while phase < max_phases and q - q_old > threshold:
+        began = time.time()
         q_old = q
-        state = work.put(f"state{made}", vertex_weight(Graph(edges, vertices)).select("v", "k", F.col("v").alias("com")))
-        n, k_max = state.agg(F.count("*"), F.max("k")).first()
-        whole = dict(state.dtypes)["k"] == "bigint"
-        wide = whole and 4 * int(total) * int(k_max or 0) >= 2**63
-        weights, near, q = _state_tables(edges, state, C.community_weight(state), total, work, made)
-        cur, up, loop = q - 1, True, 0
-        while q - cur > threshold and (max_iter is None or loop < max_iter):
-            began = time.time()
-            cur, made, loop = q, made + 1, loop + 1
-            moved = work.put(f"state{made}", C.best_move(near, state, weights, total, rule, up, wide))
-            up = not up
-            new_weights = C.community_weight_delta(weights, state, moved) if weight_update == "delta" else C.community_weight(moved)
-            new_weights, new_near, found = _state_tables(edges, moved, new_weights, total, work, made)
-            trace.append((phase, loop, found, found - cur, time.time() - began))
-            if found - cur > threshold:
-                q, state, weights, near = found, moved, new_weights, new_near
+        rows = dealt(edges, work, f"dealt{phase}")
+        start = work.put(f"state{phase}", vertex_weight(Graph(edges)))
+        n, k_max = start.agg(F.count("*"), F.max("k")).first()
+        wide = dict(start.dtypes)["k"] == "bigint" and 4 * int(total) * int(k_max or 0) >= 2**63
+        exact = "decimal(38,0)" if dict(start.dtypes)["k"] == "bigint" else "double"
+
+        def swept(state: DataFrame, weights: DataFrame, up: bool, name: str) -> tuple[DataFrame, float]:
+            """A state's next moves, written, and its modularity."""
+            table = work.put(name, C.sweep(rows, state, weights, total, rule, up, wide))
+            inside, square = table.agg(F.sum(F.col("e_in").cast(exact)), F.sum(F.col("k").cast(exact) * F.col("a").cast(exact))).first()
+            return table, C.quality(inside or 0, square or 0, total)
+
+        state = start.select("v", "k", F.col("v").alias("com"))
+        weights = start.select(F.col("v").alias("com"), F.col("k").alias("a"))
+        table, q = swept(state, weights, True, f"sweep{phase}-0")
+        loop, up = 0, True
+        while max_iter is None or loop < max_iter:
+            sweep_began = time.time()
+            loop, up = loop + 1, not up
+            state = table.select("v", "k", F.col("to").alias("com"))
+            if weight_update == "delta":
+                weights = work.put(f"weights{phase}-{loop}", C.community_weight_delta(weights, table.select("v", "k", "com"), state))
             else:
-                q = cur
-        levels.append((phase, n, edges.count(), loop, q))
-        made += 1
-        label = work.put(f"label{phase}", renumber(state).select("v", F.col("dense").alias("label")))
-        member = work.put(f"member{phase}", member.join(label.select(F.col("v").alias("at"), "label"), "at").select("v", F.col("label").alias("at")))
+                weights = C.community_weight(state)
+            found_table, found = swept(state, weights, up, f"sweep{phase}-{loop}")
+            trace.append((phase, loop, found, found - q, time.time() - sweep_began))
+            if found - q <= threshold:
+                work.drop(f"sweep{phase}-{loop}")
+                break
+            work.drop(f"sweep{phase}-{loop - 1}", f"weights{phase}-{loop - 1}")
+            q, table = found, found_table
+        looped = time.time() - began
+        began = time.time()
+        n_alone = alone.count() if loose else 0
+        levels.append((phase, n + n_alone, edges.count(), loop, q))
+        coms = table.select("v", "com") if not loose else table.select("v", "com").union(alone.select("v", "v"))
+        dense = work.put(f"dense{phase}", dense_ids(coms, "com"))
+        label = work.put(f"label{phase}", coms.join(dense, "com").select("v", F.col("dense").alias("label")))
+        if member is None:
+            member = label.select("v", F.col("label").alias("at"))
+        else:
+            member = work.put(f"member{phase}", member.join(label.select(F.col("v").alias("at"), "label"), "at").select("v", F.col("label").alias("at")))
+            work.drop(*([f"member{phase - 1}"] if phase > 1 else ["label0"]))
+        if q - q_old > threshold:
+            edges = work.put(f"edges{phase + 1}", _contract(rows, label))
+            if loose:
+                alone = work.put(f"alone{phase + 1}", alone.join(label, "v").select(F.col("label").alias("v")))
+        work.drop(*(f"dealt{phase}-{part}" for part in ("inner", "to", "from", "hubs")), f"state{phase}", f"dense{phase}", *([f"label{phase}"] if phase else []))
+        work.drop(*[f"sweep{phase}-{i}" for i in (loop - 1, loop) if i >= 0], f"weights{phase}-{loop}", f"weights{phase}-{loop - 1}")
         if q - q_old <= threshold:
+            times.append((phase, looped, looped / max(loop, 1), time.time() - began))
             break
-        # near already has each vertex's weight into every community, so contraction is one more sum
-        to = label.join(state.select("v", "com"), "v").select(F.col("com").alias("dc"), F.col("label").alias("dst")).distinct()
-        small = near.join(label.select("v", F.col("label").alias("src")), "v").join(to, "dc").groupBy("src", "dst").agg(F.sum("e").alias("w"))
+        work.drop(f"edges{phase}", *([f"alone{phase}"] if loose else []))
+        times.append((phase, looped, looped / max(loop, 1), time.time() - began))
         phase += 1
-        edges = work.put(f"edges{phase}", small)
-        vertices = work.put(f"vertices{phase}", label.select(F.col("label").alias("v")).distinct())
-    return Result(member.select("v", F.col("at").alias("community")), trace, levels, q, phase)
+    totals = {"clustering": sum(t[1] for t in times), "coarsening": sum(t[3] for t in times), "total": time.time() - began_all}
+    if member is None:
+        member = work.put("member", graph.vertices.select("v", F.col("v").alias("at")))
+    return Result(member.select("v", F.col("at").alias("community")), trace, levels, q, phase, times, totals)

@@ -12,6 +12,10 @@ PAIRS = {
     "uc": """SELECT x.user_id AS a, y.user_id AS b, count(*) AS w
       FROM (SELECT DISTINCT user_id, epoch_us(ts) // 600000000 AS slot FROM events) x
       JOIN (SELECT DISTINCT user_id, epoch_us(ts) // 600000000 AS slot FROM events) y ON x.slot = y.slot AND x.user_id < y.user_id GROUP BY 1, 2""",
+    "ek": """SELECT DISTINCT CAST(least(a, b) AS BIGINT) AS a, CAST(greatest(a, b) AS BIGINT) AS b, CAST(1 AS BIGINT) AS w FROM (
+      SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM (
+        SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 9) AS score
+        FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id)) WHERE r <= 5""",
     "triangles": "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(1 AS BIGINT) AS w FROM (VALUES (0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5), (2, 3)) t(a, b)",
 }
 
@@ -62,9 +66,13 @@ def parts(state: str, edges: str = "edges") -> str:
     (SELECT CAST(sum(CAST(a AS HUGEINT) * a) AS BIGINT) FROM (SELECT sum(k) AS a FROM {state} GROUP BY com)) AS squares, m FROM total)"""
 
 
+def bin_of(kind: str, degree: str) -> str:
+    case = " ".join(f"WHEN {degree} <= {end} THEN {i}" for i, end in enumerate(BINS[kind]))
+    return f"CAST(CASE {case} ELSE {len(BINS[kind])} END AS INTEGER)"
+
+
 def bins(kind: str, source: str) -> str:
-    case = " ".join(f"WHEN degree <= {end} THEN {i}" for i, end in enumerate(BINS[kind]))
-    return f"SELECT CAST(CASE {case} ELSE {len(BINS[kind])} END AS INTEGER) AS bin, count(*) AS vertices, max(degree) AS max_degree FROM ({source}) GROUP BY 1"
+    return f"SELECT {bin_of(kind, 'degree')} AS bin, count(*) AS vertices, max(degree) AS max_degree FROM ({source}) GROUP BY 1"
 
 
 OFFSETS = "offsets AS MATERIALIZED (SELECT src AS v, count(*) AS degree, CAST(sum(count(*)) OVER (ORDER BY src) AS BIGINT) - count(*) AS row_offset FROM edges GROUP BY src)"
@@ -72,20 +80,62 @@ STARTS = """bounds AS (SELECT p, p * (e // 4) + least(p, e % 4) AS first_edge FR
 starts AS MATERIALIZED (SELECT CAST(p AS INTEGER) AS part, first_edge, v AS first_vertex FROM bounds JOIN offsets ON row_offset <= first_edge AND first_edge < row_offset + degree)"""
 
 
-def phase(name: str, sweeps: int, rule: str = "local", edges: str = "edges", p: str = "s") -> str:
-    """CTEs of a phase from p0, of at most so many sweeps: p<i> is the accepted state, p<i>q its modularity and whether sweeps go on."""
-    out = [f"{p}0q AS MATERIALIZED (SELECT inside / m - squares / (CAST(m AS DOUBLE) * m) AS q, true AS goes, 0 AS loops FROM (SELECT inside, squares, mass AS m FROM ({parts(f'{p}0', edges)})))"]
-    for i in range(sweeps):
-        out.append(sweep(i, rule, i % 2 == 0, edges, p))
-        out.append(f"{p}{i}n AS MATERIALIZED (SELECT inside / mass - squares / (CAST(mass AS DOUBLE) * mass) AS q FROM ({parts(f'{p}{i}m', edges)}))")
-        gains = f"(SELECT goes AND n.q - o.q > 1e-6 FROM {p}{i}q o, {p}{i}n n)"
-        out.append(f"{p}{i + 1} AS MATERIALIZED (SELECT v, k, CASE WHEN {gains} THEN n.com ELSE o.com END AS com FROM {p}{i} o JOIN {p}{i}m n USING (v, k))")
-        out.append(f"{p}{i + 1}q AS MATERIALIZED (SELECT CASE WHEN {gains} THEN n.q ELSE o.q END AS q, {gains} AS goes, o.loops + CAST(goes AS INTEGER) AS loops FROM {p}{i}q o, {p}{i}n n)")
-    return ",\n".join(out)
+def run(name: str, rule: str = "local", max_iter: int = 1 << 30, max_phases: int = 1 << 30) -> str:
+    """CTEs of a whole run. walk has a row for each state of the run and each vertex: pos, the vertex's place in the phase's graph, and com.
+
+    Every step groups the first graph's edges by the phase's places, so contraction is implied. "over" is set by the last row
+    of a phase, whose com is the phase's result; "done" by the last phase.
+    """
+
+    def side(up: str, down: str) -> str:
+        return f"CASE WHEN (SELECT any_value(loop) FROM now) % 2 = 0 THEN {up} ELSE {down} END"
+
+    only = f"AND {side('dc < com', 'dc > com')}" if rule == "global" else ""
+    gate = side("least(c, com)", "greatest(c, com)")
+    return f"""walk AS (
+  SELECT v, v AS pos, v AS com, 0 AS phase, 0 AS loop, CAST(NULL AS DOUBLE) AS q, CAST(0 AS DOUBLE) AS q_old, false AS over, false AS done, CAST(NULL AS DOUBLE) AS tried, CAST(NULL AS DOUBLE) AS gain FROM kv
+  UNION ALL
+  (WITH now AS (SELECT * FROM walk WHERE NOT done),
+  spot AS (SELECT pos, any_value(com) AS com, CAST(sum(k) AS BIGINT) AS k FROM now JOIN kv USING (v) GROUP BY pos),
+  heavy AS (SELECT com, CAST(sum(k) AS BIGINT) AS a FROM spot GROUP BY 1),
+  near AS (
+    SELECT x.pos, y.com AS dc, CAST(sum(w) AS BIGINT) AS e, CAST(sum(CASE WHEN x.pos = y.pos THEN w ELSE 0 END) AS BIGINT) AS loop
+    FROM edges JOIN now x ON src = x.v JOIN now y ON dst = y.v GROUP BY 1, 2
+  ),
+  q_now AS (
+    SELECT (SELECT coalesce(sum(e), 0) FROM near JOIN spot USING (pos) WHERE dc = com) / m - (SELECT sum(CAST(a AS HUGEINT) * a) FROM heavy) / (CAST(m AS DOUBLE) * m) AS q FROM total
+  ),
+  own AS (SELECT pos, sum(CASE WHEN dc = com THEN e - loop ELSE 0 END) AS e_own FROM near JOIN spot USING (pos) GROUP BY 1),
+  options AS (
+    SELECT pos, com, dc AS c, (SELECT m FROM total) * (CAST(e AS HUGEINT) - e_own) + k * (CAST(o.a AS HUGEINT) - k - t.a) AS score
+    FROM near JOIN spot USING (pos) JOIN own USING (pos) JOIN heavy o USING (com) JOIN heavy t ON t.com = dc WHERE dc <> com {only}
+    UNION ALL SELECT pos, com, com, 0 FROM spot
+  ),
+  chosen AS (
+    SELECT pos, {gate} AS com FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score DESC, {side('c', '-c')}) AS r FROM options) WHERE r = 1
+  ),
+  moved AS (SELECT x.v, y.pos, y.com FROM now x JOIN chosen y USING (pos)),
+  q_moved AS (
+    SELECT (SELECT coalesce(sum(w), 0) FROM edges JOIN moved x ON src = x.v JOIN moved y ON dst = y.v WHERE x.com = y.com) / m
+      - (SELECT sum(CAST(a AS HUGEINT) * a) FROM (SELECT sum(k) AS a FROM moved JOIN kv USING (v) GROUP BY com)) / (CAST(m AS DOUBLE) * m) AS q FROM total
+  ),
+  facts AS (
+    SELECT q_now.q, q_moved.q AS found, NOT (SELECT any_value(over) FROM now) AND (SELECT any_value(loop) FROM now) < {max_iter} AS may, q_moved.q - q_now.q > 1e-6 AS better FROM q_now, q_moved
+  ),
+  labels AS (SELECT v, dense_rank() OVER (ORDER BY com) - 1 AS label FROM now)
+  -- an accepted sweep
+  SELECT v, moved.pos, moved.com, phase, now.loop + 1, found, q_old, false, false, found, found - facts.q FROM moved JOIN now USING (v), facts WHERE may AND better
+  UNION ALL
+  -- the end of a phase; a rejected sweep counts
+  SELECT v, pos, com, phase, now.loop + CAST(may AS INTEGER), facts.q, q_old, true, facts.q - q_old <= 1e-6, CASE WHEN may THEN found END, found - facts.q FROM now, facts WHERE NOT over AND NOT (may AND better)
+  UNION ALL
+  -- the next phase
+  SELECT v, label, label, phase + 1, 0, facts.q, facts.q, false, false, NULL, NULL FROM now JOIN labels USING (v), facts WHERE over AND phase + 1 < {max_phases})
+)"""
 
 
 def with_(name: str, *ctes: str, select: str) -> str:
-    return "WITH " + ",\n".join([graph(name), *ctes]) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join([graph(name), *ctes]) + "\n" + select
 
 
 SWEPT = f"{START},\n{sweep(0, 'local', True)}"
@@ -94,20 +144,10 @@ COARSE = "coarse AS MATERIALIZED (SELECT x.dense AS src, y.dense AS dst, CAST(su
 BOUND = "SELECT x.com, count(*) AS degree FROM edges JOIN s0m x ON src = x.v GROUP BY 1"
 EXACT = "SELECT x.com, count(DISTINCT y.com) AS degree FROM edges JOIN s0m x ON src = x.v JOIN s0m y ON dst = y.v GROUP BY 1"
 
-#: One coarsening of the two triangles: a phase, its contraction, and a phase on the result.
-TWO_TRIANGLES = with_(
-    "triangles", START, phase("triangles", 4),
-    "label AS MATERIALIZED (SELECT v, dense_rank() OVER (ORDER BY com) - 1 AS label FROM s4)",
-    "edges2 AS MATERIALIZED (SELECT x.label AS src, y.label AS dst, CAST(sum(w) AS BIGINT) AS w FROM edges JOIN label x ON src = x.v JOIN label y ON dst = y.v GROUP BY 1, 2)",
-    "t0 AS MATERIALIZED (SELECT src AS v, CAST(sum(w) AS BIGINT) AS k, src AS com FROM edges2 GROUP BY 1)",
-    phase("triangles", 2, edges="edges2", p="t"),
-    select="SELECT label.v, r.community FROM label JOIN (SELECT v, dense_rank() OVER (ORDER BY com) - 1 AS community FROM t2) r ON r.v = label.label",
-)
-
-
-def nation_run(rule: str) -> str:
-    """The nations' graph ends in its first phase, so no contraction is needed."""
-    return with_("nt", START, phase("nt", 8, rule), select="SELECT v, dense_rank() OVER (ORDER BY com) - 1 AS community FROM s8")
+LAST = "SELECT v, dense_rank() OVER (ORDER BY com) - 1 AS community FROM walk WHERE over AND phase = (SELECT max(phase) FROM walk WHERE over)"
+LEVELS = """SELECT phase, vertices, edges, loops, round(q, 9) AS q FROM
+  (SELECT phase, count(DISTINCT pos) AS vertices, max(loop) AS loops, max(CASE WHEN over THEN q END) AS q FROM walk GROUP BY 1)
+  JOIN (SELECT x.phase, count(DISTINCT (x.pos, y.pos)) AS edges FROM edges JOIN walk x ON src = x.v JOIN walk y ON dst = y.v AND x.phase = y.phase WHERE x.over AND y.over GROUP BY 1) USING (phase)"""
 
 
 ORACLES = {
@@ -147,9 +187,16 @@ ORACLES = {
         "uc", START, *(f"{sweep(i, 'local', i % 2 == 0)},\ns{i + 1} AS (SELECT * FROM s{i}m)" for i in range(3)),
         select=" UNION ALL ".join(f"SELECT {i} AS loop, * FROM ({parts(f's{i}')})" for i in (1, 2, 3)),
     ),
-    "louvain_local_nt": nation_run("local"),
-    "louvain_global_nt": nation_run("global"),
-    "louvain_two_triangles": TWO_TRIANGLES,
+    "louvain_two_triangles": with_("triangles", run("triangles"), select=LAST),
+    "louvain_trace_ps": with_("ps", run("ps"), select="SELECT DISTINCT phase, loop, round(tried, 9) AS q, round(gain, 9) AS dq FROM walk WHERE tried IS NOT NULL"),
+    "bin_order_move": with_("po", select=f"SELECT v, bin, row_number() OVER (ORDER BY bin, v) - 1 AS position FROM (SELECT src AS v, {bin_of('move', 'count(*)')} AS bin FROM edges GROUP BY src)"),
+    "mtx_symmetric": """SELECT CAST(s AS BIGINT) AS src, CAST(d AS BIGINT) AS dst, CAST(w AS DOUBLE) AS w, own FROM (VALUES
+      (0, 0, 1, false), (0, 1, 1, false), (1, 0, 1, false), (1, 2, 2, false), (2, 1, 2, false), (0, 3, 1, false), (3, 0, 1, false),
+      (0, 0, 5, true), (0, 1, 2, true), (1, 0, 2, true), (1, 2, 5.5, true), (2, 1, 5.5, true), (0, 3, 0.5, true), (3, 0, 0.5, true)) t(s, d, w, own)""",
+    "mtx_complex": "SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(w AS DOUBLE) AS w, CAST(im AS DOUBLE) AS im FROM (VALUES (0, 0, 1.5, -2), (1, 2, 0, 4.25), (0, 1, -3, 0)) t(a, b, w, im)",
+    "random_graph": """WITH pairs AS (SELECT i // 40 AS s, i % 40 AS d, CAST('0x' || substr(md5('7:' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % 1000000 AS x FROM range(1600) t(i)),
+      kept AS (SELECT s, d, 1 + x / 1000000 AS w FROM pairs WHERE x < 100000)
+      SELECT src, dst, sum(w) AS w FROM (SELECT s AS src, d AS dst, w FROM kept UNION ALL SELECT d, s, w FROM kept WHERE s <> d) GROUP BY 1, 2""",
     "mtx_roundtrip": "SELECT CAST(s AS BIGINT) AS src, CAST(d AS BIGINT) AS dst, CAST(w AS DOUBLE) AS w FROM (VALUES (0, 1, 1.5), (1, 0, 1.5), (0, 2, 2.0), (2, 0, 2.0), (2, 3, 0.5), (3, 2, 0.5)) t(s, d, w)",
     "mtx_export_ps": with_("ps", "ids AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM vertices)", select="SELECT x.i AS src, y.i AS dst, w FROM edges JOIN ids x ON src = x.v JOIN ids y ON dst = y.v"),
 }
@@ -157,3 +204,8 @@ for _rule in ("local", "global"):
     for _way in ("up", "down"):
         ORACLES[f"best_move_{_rule}_{_way}"] = with_("nt", REGIONS, sweep(0, _rule, _way == "up"), select="SELECT v, com FROM s0m")
         ORACLES[f"best_move_start_{_rule}_{_way}"] = with_("po", START, sweep(0, _rule, _way == "up"), select="SELECT v, com FROM s0m")
+    for _name in ("nt", "ps", "po", "uc", "ek"):
+        ORACLES[f"louvain_{_rule}_{_name}"] = with_(_name, run(_name, _rule), select=LAST)
+    ORACLES[f"louvain_{_rule}_po_phase0"] = with_("po", run("po", _rule, max_phases=1), select=LAST)
+    ORACLES[f"louvain_{_rule}_ps_two_sweeps"] = with_("ps", run("ps", _rule, max_iter=2, max_phases=2), select=LEVELS)
+    ORACLES[f"louvain_levels_ps_{_rule}"] = with_("ps", run("ps", _rule), select=LEVELS)

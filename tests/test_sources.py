@@ -54,6 +54,42 @@ def test_banner():
             M.parse_banner(bad)
 
 
+def test_codes():
+    assert M.typecode("matrix", "coordinate", "real", "skew-symmetric") == "MCRK" and M.typecode_words("MAIG") == "matrix array integer general"
+    assert [M.is_valid(c) for c in ("MCRG", "MAPG", "MCRH", "MCPK", "XCRG", "MCCH")] == [True, False, False, False, False, True]
+    assert M.banner_line("array", "complex", "hermitian") == "%%MatrixMarket matrix array complex hermitian"
+    assert (M.size_line(2, 3), M.size_line(2, 3, 4)) == ("2 3", "2 3 4")
+    assert M.parse_size("2 3", "array") == (2, 3, None) and M.parse_size("2 3 4", "coordinate") == (2, 3, 4)
+    codes = {}
+    for line in ("%%MatrixMarket matrix coordinate", "%%Other matrix coordinate real general", "%%MatrixMarket matrix coordinate odd general", "%%MatrixMarket " + "x" * 2000):
+        with pytest.raises(M.MatrixMarketError) as e:
+            M.parse_banner(line)
+        codes[line[:12]] = e.value.code
+        assert e.value.code in range(11, 18)
+    assert codes["%%Other matr"] == M.NO_HEADER
+    for line in ("2 3", "a b c"):
+        with pytest.raises(M.MatrixMarketError):
+            M.parse_size(line, "coordinate")
+
+
+def test_headers_and_complex_entries(spark, file, tmp_path):
+    head = M.read_header(spark, file("%%MatrixMarket matrix array real general\n% c\n\n3 2\n1\n2\n"), strict=True)
+    assert (head.format, head.rows, head.columns, head.entries) == ("array", 3, 2, None)
+    with pytest.raises(M.MatrixMarketError):
+        M.read_mtx(spark, file("%%MatrixMarket matrix array real general\n3 2\n1\n"))
+    text = "%%MatrixMarket matrix coordinate complex general\n" + "% long comment\n" * 700 + "2 2 3\n2 2 3\n2 2 3\n1 2 0.5 -1\n"
+    found = sorted(tuple(r) for r in M.read_entries(spark, file(text)).fillna(0.0).collect())
+    assert found == [(0, 1, 0.5, -1.0), (1, 1, 3.0, 0.0), (1, 1, 3.0, 0.0)]
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for name, part in (("a", "%%MatrixMarket matrix coordinate real general\n%\n"), ("b", "% more\n3 3 3\n2 1 1\n"), ("c", "3 3 3\n3 1 2\n")):
+        (folder / name).write_text(part)
+    assert sorted(tuple(r) for r in M.read_entries(spark, str(folder)).collect()) == [(1, 0, 1.0), (2, 0, 2.0), (2, 2, 3.0)]
+    for empty in ("", "% only\n"):
+        with pytest.raises(M.MatrixMarketError):
+            M.read_header(spark, file(empty))
+
+
 def test_write_and_read(spark, file, tmp_path):
     g = M.read_mtx(spark, file(GENERAL))
     for symmetry in ("general", "symmetric"):

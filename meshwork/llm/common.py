@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshwork.operators.joins import HOT_PARTS, join_groups
 from meshwork.workspace import Workspace as _Workspace
 
+__all__ = ["HOT_PARTS", "join_groups"]
+
 #: The characters that count as white space everywhere here: [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_CLASS = r"[\x20\x09-\x0D]"
-#: A group with more than 1/HOT_PARTS of all rows counts as hot.
-HOT_PARTS = 256
+#: Rows of marks up to which they are broadcast (32 bytes each); beyond, they are shuffled.
+BROADCAST_MARKS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +56,27 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def text_marks(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a text, as two longs; a null text is told from an empty one."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), F.coalesce(text, F.lit("")), text.isNull())
+
+
+def without_marked(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs, all columns, but those whose id and text are in gone: (doc_id, mark1, mark2, size).
+
+    Ids are compared null-safe. size tells how many rows of docs have that id and text, so that the few marks of very
+    many rows are broadcast where the others are shuffled.
+    """
+    same, one, two, size = fresh(docs, "gone_id", "gone_1", "gone_2", "gone_size")
+    named = gone.select(F.col("doc_id").alias(same), F.col("mark1").alias(one), F.col("mark2").alias(two), F.col("size").alias(size))
+    a, b = text_marks(F.col(text_col))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col(same)) & (a == F.col(one)) & (b == F.col(two))
+    if gone.count() <= BROADCAST_MARKS:
+        return docs.join(F.broadcast(named), on, "left_anti")
+    is_hot = F.col(size) * HOT_PARTS > docs.count()
+    return docs.join(F.broadcast(named.where(is_hot)), on, "left_anti").join(named.where(~is_hot), on, "left_anti")
+
+
 def words_native(text: Column) -> Column:
     """Lower-cased words, split at white space, as an array; none for a null or blank text."""
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), f"{WHITE_CLASS}+"), "")
@@ -78,8 +102,9 @@ def components(links: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame
     """(node, root) for every node of links(a, b): root is the smallest node reachable.
 
     Alternating large and small stars: in each round every node's neighbours are linked to its smallest
-    neighbour, with one aggregation and one join by node, so a hub's list is never gathered. Each round is
-    written to the shared folder; the number of rounds grows with the logarithm of a component's size.
+    neighbour, with one aggregation and one join by node; a hub's list is never gathered, and the few nodes with a large share of all
+    links meet them by broadcast. Each round is written to the shared folder; the number of rounds grows with the logarithm of
+    a component's size.
     """
     name = f"cc-{uuid.uuid4().hex[:8]}-"
     edges = work.put(f"{name}0", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
@@ -89,25 +114,13 @@ def components(links: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame
         if ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         # large star: of each node the larger neighbours go to its smallest one
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        total = 2 * edges.count()
+        large = join_groups(both, low, ["u"], "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         # small star: of each node the smaller neighbours, and itself, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_groups(large, least, ["u"], "n", total).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         edges = work.put(f"{name}{i}", small)
         work.drop(f"{name}{i - 1}")
     raise RuntimeError("the components did not settle")
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
-    """rows left join groups by key, where groups[size] tells how many of the rows a key has.
-
-    At most HOT_PARTS keys can have more than 1 / HOT_PARTS of all rows each, so those groups, and no others, are
-    broadcast: a bound that does not depend on the input. All other keys are shuffled and are small.
-    """
-    total = rows.count()
-    is_hot = F.col(size) * HOT_PARTS > total
-    hot = F.broadcast(groups.where(is_hot))
-    cold = rows.join(hot, key, "left_anti").join(groups.where(~is_hot), key, "left")
-    return rows.join(hot, key).unionByName(cold)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import Workspace, components, join_groups, raw
+from meshwork.llm.common import Workspace, components, fresh, join_groups, raw, text_marks, without_marked
 
 #: Tokens in more lists' entries than this are heavy.
 LIGHT = 8
@@ -36,10 +36,10 @@ VERIFY = 200
 LEADERS, LEADER_ROUNDS = 6, 2
 #: Ids up to which the texts to verify are found by a broadcast (8 bytes each); beyond, by a shuffle.
 BROADCAST_IDS = 1 << 18
-#: Documents of a block, where blocks are compared with blocks.
-BLOCK = 256
+#: Tokens of a block on average, where blocks are compared with blocks: 8 MB, so a pair of blocks takes some 50 MB of a task.
+BLOCK_TOKENS = 1 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
-HEAD_TYPES = "row long, doc_id long, print binary, n long, head array<long>"
+HEAD_TYPES = "row long, doc_id long, mark1 long, mark2 long, print binary, n long, head array<long>"
 SET_TYPES = "print binary, tokens array<long>"
 PLAN_TYPES = "row long, n long, reach int, need int, covered boolean, token array<long>, heavy array<long>"
 
@@ -86,7 +86,7 @@ def _heads(n_words: int, percent: int):
         row = TaskContext.get().partitionId() << 36
         for data in batches:
             sizes, prints, heads = [], [], []
-            for text in raw(data.column(1)):
+            for text in raw(data.column(3)):
                 tokens = shingles(text or b"", n_words)
                 n = len(tokens)
                 sizes.append(n)
@@ -94,7 +94,7 @@ def _heads(n_words: int, percent: int):
                 heads.append(tokens[: n - at_least(n, percent) + most_reach(n, percent)])
             rows = pa.array(range(row, row + len(sizes)), pa.int64())
             row += len(sizes)
-            yield pa.RecordBatch.from_arrays([rows, data.column(0), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), _lists(heads)], names=["row", "doc_id", "print", "n", "head"])
+            yield pa.RecordBatch.from_arrays([rows, *data.columns[:3], pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), _lists(heads)], names=["row", "doc_id", "mark1", "mark2", "print", "n", "head"])
 
     return run
 
@@ -250,22 +250,26 @@ def _clusters(heavy: DataFrame, work: Workspace) -> DataFrame:
 def _open_links(heavy: DataFrame, sets: DataFrame, roots: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """Verified links between documents of a cluster that no chain of links joins yet.
 
-    Of two such documents one is outside the cluster's largest component. Those outside are put in blocks, and every
-    block is compared with all blocks of its cluster, a pair of blocks at a time, by array operations.
+    Of two such documents one is outside the cluster's largest component. Those outside are put in blocks of about as many
+    tokens, and every block is compared with all blocks of its cluster. Pairs of blocks are listed and dealt by their
+    numbers before any block is joined to them, so the tasks share even one cluster's pairs.
     """
     placed = heavy.select("row").join(_clusters(heavy, work), "row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    placed = work.put("placed", placed)
-    parts = placed.groupBy("cluster", "root").agg(F.count("*").alias("c"))
+    placed = work.put("placed", placed.join(sets.select("row", "n"), "row"))
+    parts = placed.groupBy("cluster", "root").agg(F.sum("n").alias("c"))
     main = parts.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("k"), F.sum("c").alias("all")).where("k > 1")
-    main = main.select("cluster", F.col("m.root").alias("main"), "all", (F.col("all") - F.col("m.c")).alias("outer"))
+    blocks_of = lambda tokens: F.ceil(tokens / BLOCK_TOKENS)
+    main = work.put("main", main.select("cluster", F.col("m.root").alias("main"), blocks_of(F.col("all")).alias("y_blocks"), blocks_of(F.col("all") - F.col("m.c")).alias("x_blocks")))
     open_ = placed.join(main, "cluster").join(sets.select("row", "tokens"), "row")
 
-    def blocks(rows: DataFrame, size: str, name: str) -> DataFrame:
-        slot = F.pmod(F.xxhash64("row"), F.ceil(F.col(size) / BLOCK)).alias(f"{name}_block")
-        return rows.groupBy("cluster", slot).agg(F.collect_list(F.struct("row", "root", "tokens")).alias(name))
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        slot = F.pmod(F.xxhash64("row"), F.col(f"{name}_blocks")).alias(f"{name}_block")
+        return work.put(f"{name}-blocks", rows.groupBy("cluster", slot).agg(F.collect_list(F.struct("row", "root", "tokens")).alias(name)))
 
-    pairs = blocks(open_.where("root <> main"), "outer", "x").join(blocks(open_, "all", "y"), "cluster").repartition("cluster", "x_block", "y_block")
-    return pairs.select("x", "y").mapInArrow(_compare(percent), "a long, b long")
+    x, y = blocks(open_.where("root <> main"), "x"), blocks(open_, "y")
+    numbers = x.select("cluster", "x_block").join(main, "cluster").select("cluster", "x_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("y_blocks") - 1)).alias("y_block"))
+    pairs = work.put("block-pairs", numbers.repartition("cluster", "x_block", "y_block"))
+    return pairs.join(x, ["cluster", "x_block"]).join(y, ["cluster", "y_block"]).select("x", "y").mapInArrow(_compare(percent), "a long, b long")
 
 
 def _unpack(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -283,15 +287,17 @@ def _compare(percent: int):
             for x, y in zip(data.column(0), data.column(1), strict=True):
                 x_row, x_root, x_ends, x_tokens = _unpack(x)
                 y_row, y_root, y_ends, y_tokens = _unpack(y)
-                known, place = np.unique(x_tokens, return_inverse=True)
-                holds = np.zeros((len(known) + 1, len(x_row)), np.int32)  # the last line is that of tokens not in x
-                holds[place, np.repeat(np.arange(len(x_row)), np.diff(x_ends))] = 1
-                at = np.searchsorted(known, y_tokens)
-                at[(at == len(known)) | (known[np.minimum(at, len(known) - 1)] != y_tokens)] = len(known)
                 sizes = np.diff(x_ends)
+                order = np.argsort(x_tokens, kind="stable")
+                known, holder = x_tokens[order], np.repeat(np.arange(len(x_row)), sizes)[order]
                 for j in range(len(y_row)):
-                    both = holds[at[y_ends[j] : y_ends[j + 1]]].sum(axis=0)
-                    union = sizes + (y_ends[j + 1] - y_ends[j]) - both
+                    own = y_tokens[y_ends[j] : y_ends[j + 1]]
+                    start, stop = np.searchsorted(known, own), np.searchsorted(known, own, side="right")
+                    many = stop - start
+                    # the places of all entries of own tokens in x, at most as many as x has
+                    at = np.repeat(start - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(own) else start
+                    both = np.bincount(holder[at], minlength=len(x_row))
+                    union = sizes + len(own) - both
                     hits = np.flatnonzero((both * 100 >= union * percent) & (x_root != y_root[j]))
                     found += [(int(min(x_row[i], y_row[j])), int(max(x_row[i], y_row[j]))) for i in hits]
             a, b = zip(*found, strict=True) if found else ((), ())
@@ -300,21 +306,12 @@ def _compare(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, n_words: int = 5, work: Workspace | None = None) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs.
-
-    Words are the maximal runs outside [\\x20\\x09-\\x0D], A-Z lower-cased; a set holds the distinct runs of n_words words,
-    or the whole sequence where there are fewer. Two rows link when 100 * intersection >= percent * union;
-    component_id is the smallest doc_id that links reach. A null text, or one without words, has no shingles and
-    is linked with nothing. Rows of equal sets are one class, repeated rows too; a row without doc_id takes part,
-    and gets its component's smallest doc_id, null where there is none. An empty table gives an empty result; further columns are
-    not read.
-    """
-    spark = docs.sparkSession
-    work = work or Workspace(spark, "jaccard")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, n_words: int, work: Workspace) -> DataFrame:
+    """(row, doc_id, mark1, mark2, print, n, root, component_id, size) of every row; the last three are null where nothing is linked with it."""
+    a, b = text_marks(F.col(text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), a.alias("mark1"), b.alias("mark2"), F.col(text_col).alias("text"))
     heads = work.put("heads", texts.mapInArrow(_heads(n_words, percent), HEAD_TYPES))
-    members = work.put("members", heads.select("row", "doc_id", "print", "n"))
+    members = work.put("members", heads.select("row", "doc_id", "mark1", "mark2", "print", "n"))
     filled = heads.where("n > 0")
     classes = work.put("classes", filled.groupBy("print").agg(F.min("row").alias("row"), F.min("doc_id").alias("low"), F.count("*").alias("size"), F.first("n").alias("n")))
     # the head of the first row of each class stands for all
@@ -349,20 +346,48 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             roots = work.put("roots-all", components(links.union(more), work).select(F.col("node").alias("row"), "root"))
     named = classes.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("parts"))
-    groups = work.put("groups", named.join(lowest, "root").where("size > 1 or parts > 1").select("print", "component_id", "size"))
-    done = join_groups(members, groups, ["print"], "size")
+    groups = work.put("groups", named.join(lowest, "root").where("size > 1 or parts > 1").select("print", "root", "component_id", "size"))
+    return join_groups(members, groups, ["print"], "size")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, n_words: int = 5, work: Workspace | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs.
+
+    Words are the maximal runs outside [\\x20\\x09-\\x0D], A-Z lower-cased; a set holds the distinct runs of n_words words,
+    or the whole sequence where there are fewer. Two rows link when 100 * intersection >= percent * union;
+    component_id is the smallest doc_id that links reach. A null text, or one without words, has no shingles and
+    is linked with nothing. Rows of equal sets are one class, repeated rows too; a row without doc_id takes part,
+    and gets its component's smallest doc_id, null where there is none. An empty table gives an empty result; further columns are
+    not read.
+    """
+    done = _grouped(docs, id_col, text_col, percent, n_words, work or Workspace(docs.sparkSession, "jaccard"))
     return done.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each component left, that with the smallest doc_id; all columns unchanged.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, n_words: int = 5, work: Workspace | None = None) -> DataFrame:
+    """docs with one row of each component left; all columns unchanged. Components are those of jaccard_components().
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id cannot be told apart and all stay.
+    Rows are decided one by one: that with the smallest doc_id stays (null last), of rows that repeat the doc_id the one whose text hashes lowest, of
+    rows that repeat both the one whose columns hash lowest. A row whose text has no words, or is linked with nothing,
+    stays, whatever other rows have its doc_id. An empty table gives an empty result.
     """
-    rows = jaccard_components(docs, id_col, text_col, **options)
-    gone = rows.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    twice = left.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    work = work or Workspace(docs.sparkSession, "jaccard")
+    rows = _grouped(docs, id_col, text_col, percent, n_words, work).where("root is not null")
+    pairs = work.put("linked", rows.groupBy("root", "doc_id", "mark1", "mark2").agg(F.count("*").alias("size")))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark1", "mark2")
+    first = pairs.groupBy("root").agg(F.min(place).alias("first"))
+    total = F.sum("size").alias("size")
+    first = first.select(*(F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "mark1", "mark2")))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("mark1") == F.col("first_mark1")) & (F.col("mark2") == F.col("first_mark2"))
+    gone = work.put("gone", pairs.join(first, is_first, "left_anti").groupBy("doc_id", "mark1", "mark2").agg(total))
+    left = without_marked(docs, gone, id_col, text_col)
+    twice = work.put("twice", pairs.join(first, is_first, "left_semi").groupBy("doc_id", "mark1", "mark2").agg(total).where("size > 1"))
     if twice.isEmpty():
         return left
-    return left.join(twice, id_col, "left_anti").select(*docs.columns).unionByName(left.join(twice, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+    # of rows that repeat id and text one is kept apart from the others, with partial sums, so no group is gathered
+    a, b = text_marks(F.col(text_col))
+    one, two, rest = fresh(docs, "mark_1", "mark_2", "whole_row")
+    marked = left.select(*(F.col(c) for c in docs.columns), a.alias(one), b.alias(two))
+    same = F.col(id_col).cast("long").eqNullSafe(twice["doc_id"]) & (F.col(one) == twice["mark1"]) & (F.col(two) == twice["mark2"])
+    repeated = marked.join(twice, same, "left_semi").groupBy(id_col, one, two).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(rest))
+    return without_marked(left, twice, id_col, text_col).unionByName(repeated.select(f"{rest}.*"))

@@ -2,11 +2,11 @@
 
 A test item is short and a document may be long, so their Jaccard similarity says little, and a signature of the
 document would have to be very large to show the item. The search is therefore asymmetric. Items are partitioned by
-the size m of their shingle sets. An item's signature is the bottom of its own min-wise order, its k smallest
-shingle hashes, with k = m - ceil(t m) + 1 set by its size partition: a document that holds a share t of the item can miss at most
-k - 1 of its shingles, so it holds one of the k, and nothing is lost by looking for those alone. Documents are read
-once, hashed with the same function, cut at the largest hash of any signature, and probed. Candidates, of documents large enough
-for the item's partition, are verified on the shingles themselves, word for word.
+the size m of their shingle sets, partition p having sizes from 2^p to 2^(p+1) - 1. An item's signature is the bottom of its own min-wise
+order, its k smallest shingle hashes, with k = m - ceil(t m) + 1: a document that holds a share t of the item can miss
+at most k - 1 of its shingles, so it holds one of the k, and nothing is lost by looking for those alone. Documents are read
+once and hashed with the same function. A document probes the partitions that its own size allows, those whose least needed overlap
+it can hold, up to the largest signature hash of each. Candidates, and no other pairs, are verified on the shingles themselves, word for word.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import Workspace, bound, shingles_native
+from meshwork.llm.common import Workspace, bound, shingles_native, text_marks, without_marked
 
 #: Rows of signatures, item shingles or candidate ids up to which that side is broadcast; beyond, it is shuffled.
 BROADCAST_ROWS = 1 << 18
@@ -44,49 +44,71 @@ def checked(df: DataFrame, rows: int) -> DataFrame:
 
 
 def signatures(items: DataFrame, percent: int, n_words: int, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, m, least, bottom) of every item with words: set size, shingles needed, the k smallest hashes."""
+    """(item_id, m, part, least, bottom) of every item with words: set size, size partition, shingles needed, the k smallest hashes."""
     hashes = F.array_sort(F.array_distinct(shingles_native(words(F.col(text_col)), n_words)))
     sized = items.select(F.col(item_col).alias("item_id"), hashes.alias("s")).withColumn("m", F.size("s")).where("m > 0")
     least = F.ceil(F.col("m") * percent / 100).cast("int")
-    return sized.select("item_id", "m", least.alias("least"), F.slice("s", 1, F.col("m") - least + 1).alias("bottom"))
+    part = F.floor(F.log2("m")).cast("int")
+    return sized.select("item_id", "m", part.alias("part"), least.alias("least"), F.slice("s", 1, F.col("m") - least + 1).alias("bottom"))
+
+
+def _limits(signed: DataFrame) -> dict[int, tuple[int, int]]:
+    """Of each size partition the least overlap that an item needs, and the largest hash of a signature; some 30 partitions at most."""
+    found = signed.groupBy("part").agg(F.min("least"), F.max(F.array_max("bottom"))).collect()
+    return {part: (least, top) for part, least, top in found}
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 80, n_words: int = 5, work: Workspace | None = None) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for every document that holds percent of an item's shingles.
 
     Words are lower-cased runs of letters and digits; a set holds the distinct runs of n_words words, or the whole
-    sequence where there are fewer. Null texts and texts without words match nothing. Rows that repeat a doc_id (or
-    have none) count as one document of that id with all their shingles, and the result has one row for each id and item; items that repeat an
+    sequence where there are fewer. Null texts and texts without words match nothing. Every row is a document of its own, also one that
+    repeats a doc_id or has none; the result has one row for each doc_id and item, that of the best row. Items that repeat an
     item_id with other words are items of their own, and the best one is named. Empty tables give an empty result;
     further columns, whatever their names, are not read.
     """
-    spark = docs.sparkSession
-    work = work or Workspace(spark, "leaks")
+    work = work or Workspace(docs.sparkSession, "leaks")
+    hits = _hits(docs, items, id_col, text_col, item_col, item_text_col, percent, n_words, work)
+    best = F.max(F.struct((F.col("n_shared") / F.col("m")).alias("containment"), F.col("n_shared"), F.col("m").cast("long").alias("n_item"))).alias("best")
+    return hits.groupBy("doc_id", "id").agg(best).select("doc_id", F.col("id").alias("item_id"), "best.n_shared", "best.n_item", "best.containment")
+
+
+def _hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, percent: int, n_words: int, work: Workspace) -> DataFrame:
+    """(doc_id, mark1, mark2, size, id, n_shared, m) of every doc_id and text, which size rows have, and every item that the text holds."""
     # an item is an id and a text, so a repeated id does no harm
     tests = work.put("tests", items.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).distinct().select("id", F.xxhash64("id", "text").alias("item_id"), "text"))
     signed = work.put("signed", signatures(tests, percent, n_words, "item_id", "text"))
     probes = signed.select("item_id", "least", F.explode("bottom").alias("h"))
-    n_probes, top = probes.agg(F.count("*"), F.max("h")).first()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    hashed = texts.select("doc_id", F.explode(shingles_native(words(F.col("text")), n_words)).alias("h"))
-    hashed = hashed.where(F.col("h") <= F.lit(top if top is not None else 0))
-    found = hashed.join(checked(probes, n_probes), "h").select("doc_id", "item_id").distinct()
-    candidates = work.put("candidates", found)
-
-    ids = candidates.select("doc_id").distinct()
-    near = texts.join(checked(ids.select(F.col("doc_id").alias("near_id")), candidates.count()), F.col("doc_id").eqNullSafe(F.col("near_id")), "left_semi")
-    near = near.select("doc_id", F.explode(word_shingles(words(F.col("text")), n_words)).alias("shingle"))
+    limits = _limits(signed)
+    one, two = text_marks(F.col(text_col))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), one.alias("mark1"), two.alias("mark2"), F.col(text_col).alias("text"))
+    sized = texts.select("doc_id", "mark1", "mark2", shingles_native(words(F.col("text")), n_words).alias("s")).withColumn("n", F.size("s"))
+    hashed = sized.select("doc_id", "mark1", "mark2", "n", F.explode("s").alias("h"))
+    # a hash goes on where a partition that the document is large enough for has signatures that far; n counts repeats, so it is no less than the set
+    may = F.lit(False)
+    for least, top in limits.values():
+        may = may | ((F.col("n") >= least) & (F.col("h") <= top))
+    found = hashed.where(may).join(checked(probes, probes.count()), "h").where("n >= least")
+    candidates = work.put("candidates", found.groupBy("doc_id", "mark1", "mark2", "item_id", "h").agg(F.count("*").alias("size")).groupBy("doc_id", "mark1", "mark2", "item_id").agg(F.max("size").alias("size")))
+
+    # a text is verified once, however many rows have it
+    wanted = candidates.select("mark1", "mark2", "item_id").distinct()
+    marks = candidates.select(F.col("mark1").alias("near1"), F.col("mark2").alias("near2")).distinct()
+    near = texts.join(checked(marks, candidates.count()), (F.col("mark1") == F.col("near1")) & (F.col("mark2") == F.col("near2")), "left_semi")
+    near = near.select("mark1", "mark2", F.explode(word_shingles(words(F.col("text")), n_words)).alias("shingle"))
     parts = tests.select("item_id", F.explode(F.array_distinct(word_shingles(words(F.col("text")), n_words))).alias("shingle"))
-    shared = near.join(checked(parts, parts.count()), "shingle").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
-    same = shared["doc_id"].eqNullSafe(candidates["doc_id"]) & (shared["item_id"] == candidates["item_id"])
-    exact = shared.join(candidates, same, "left_semi").join(signed.select("item_id", "m", "least").join(tests.select("item_id", "id"), "item_id"), "item_id").where("n_shared >= least")
-    best = exact.groupBy("doc_id", "id").agg(F.max(F.struct((F.col("n_shared") / F.col("m")).alias("containment"), F.col("n_shared"), F.col("m").cast("long").alias("n_item"))).alias("best"))
-    return best.select("doc_id", F.col("id").alias("item_id"), "best.n_shared", "best.n_item", "best.containment")
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no item, all columns unchanged; defined as in contaminated(). A null id is an id here."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "leaks")
-    hits = work.put("hits", contaminated(docs, items, id_col, text_col, work=work, **options).select(F.col("doc_id").alias("leaking_id")).distinct())
-    return docs.join(checked(hits, hits.count()), F.col(id_col).cast("long").eqNullSafe(F.col("leaking_id")), "left_anti").select(*docs.columns)
+    shared = near.join(checked(parts, parts.count()), "shingle").join(checked(wanted, candidates.count()), ["mark1", "mark2", "item_id"], "left_semi")
+    shared = shared.groupBy("mark1", "mark2", "item_id", "shingle").agg(F.lit(1)).groupBy("mark1", "mark2", "item_id").agg(F.count("*").alias("n_shared"))
+    exact = shared.join(signed.select("item_id", "m", "least").join(tests.select("item_id", "id"), "item_id"), "item_id").where("n_shared >= least")
+    return candidates.join(exact, ["mark1", "mark2", "item_id"]).select("doc_id", "mark1", "mark2", "size", "id", "n_shared", "m")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 80, n_words: int = 5) -> DataFrame:
+    """The rows of docs that hold no item, all columns unchanged; defined as in contaminated(), row by row.
+
+    A row that holds an item takes no other row of its doc_id with it, and two rows with a part of an item each both stay.
+    """
+    work = Workspace(docs.sparkSession, "leaks")
+    hits = _hits(docs, items, id_col, text_col, item_col, item_text_col, percent, n_words, work)
+    gone = work.put("gone", hits.groupBy("doc_id", "mark1", "mark2").agg(F.max("size").alias("size")))
+    return without_marked(docs, gone, id_col, text_col)

@@ -1,10 +1,11 @@
 """Toxicity: a counterfactual-regularised linear classifier.
 
-The model is a sparse logistic regression over the presence of lower-cased words and of their prefixes. It is fitted
-on a bounded sample of labelled texts. For every sampled text that mentions a group of people, the terms are swapped
-for others of the same kind, and a change of the score is penalised; every term of the lexicon is also set against
-its absence. Mentioning a group neutrally therefore moves a score by next to nothing, whatever the labels'
-accidents. Scores of all texts are computed in one pass without a shuffle.
+The model is a sparse logistic regression over the presence of lower-cased words and of their prefixes, of which those that tell most
+of the labels are chosen. It is fitted on a bounded sample of labelled texts. In every labelled sentence that mentions a group of people the terms are
+swapped, each for the term of another group in the same language, kind and number, and for a neutral word; a change of the sentence's score
+is penalised. The terms themselves are such sentences too, so those that no labelled text mentions are no accident of others' prefixes.
+Mentioning a group neutrally therefore moves a score by next to nothing, whatever the labels' accidents. Scores of all texts are
+computed in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,17 +23,51 @@ from pyspark.sql import functions as F
 
 from meshwork.llm.common import Workspace, lean
 
-#: Neutral terms for groups of people, by kind.
+#: Terms for groups of people, by language, kind and number; the first of each list is the neutral word.
 IDENTITY_TERMS = {
-    "belief": ["muslim", "muslims", "christian", "christians", "jewish", "jews", "hindu", "hindus", "buddhist", "buddhists", "sikh", "sikhs", "catholic", "catholics", "atheist", "atheists"],
-    "origin": ["african", "africans", "american", "americans", "arab", "arabs", "asian", "asians", "chinese", "european", "europeans", "indian", "indians", "latino", "latinos", "mexican", "mexicans", "immigrant", "immigrants", "refugee", "refugees"],
-    "colour": ["black", "blacks", "white", "whites", "brown"],
-    "gender": ["woman", "women", "man", "men", "girl", "girls", "boy", "boys", "female", "females", "male", "males", "transgender", "nonbinary"],
-    "orientation": ["gay", "lesbian", "bisexual", "straight", "heterosexual", "homosexual", "queer"],
-    "ability": ["disabled", "deaf", "blind", "autistic"],
-    "age": ["young", "old", "elderly", "teenager", "teenagers"],
-    "others": ["musulman", "musulmans", "juif", "juifs", "femme", "femmes", "noirs", "frauen", "juden", "muslime", "mujeres", "musulmanes", "inmigrantes"],
+    ("en", "belief", "one"): ["religious", "muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "catholic", "atheist"],
+    ("en", "belief", "many"): ["believers", "muslims", "christians", "jews", "hindus", "buddhists", "sikhs", "catholics", "atheists"],
+    ("en", "origin", "one"): ["foreign", "african", "american", "arab", "asian", "chinese", "european", "indian", "latino", "mexican"],
+    ("en", "origin", "many"): ["foreigners", "africans", "americans", "arabs", "asians", "europeans", "indians", "latinos", "mexicans"],
+    ("en", "arrival", "one"): ["newcomer", "immigrant", "migrant", "refugee"],
+    ("en", "arrival", "many"): ["newcomers", "immigrants", "migrants", "refugees"],
+    ("en", "colour", "one"): ["coloured", "black", "white", "brown"],
+    ("en", "colour", "many"): ["people", "blacks", "whites"],
+    ("en", "adult", "one"): ["person", "woman", "man"],
+    ("en", "adult", "many"): ["persons", "women", "men"],
+    ("en", "child", "one"): ["child", "girl", "boy"],
+    ("en", "child", "many"): ["children", "girls", "boys"],
+    ("en", "gender", "one"): ["human", "female", "male", "transgender", "nonbinary"],
+    ("en", "gender", "many"): ["humans", "females", "males"],
+    ("en", "orientation", "one"): ["partnered", "gay", "lesbian", "bisexual", "straight", "heterosexual", "homosexual", "queer"],
+    ("en", "orientation", "many"): ["couples", "gays", "lesbians", "bisexuals", "heterosexuals", "homosexuals"],
+    ("en", "ability", "one"): ["different", "disabled", "deaf", "blind", "autistic"],
+    ("en", "age", "one"): ["aged", "young", "old", "elderly"],
+    ("en", "age", "many"): ["ages", "teenagers", "pensioners"],
+    ("de", "belief", "many"): ["gläubige", "muslime", "juden", "christen", "buddhisten", "atheisten"],
+    ("de", "belief", "one"): ["gläubiger", "moslem", "jude", "christ", "atheist"],
+    ("de", "origin", "many"): ["ausländer", "türken", "araber", "afrikaner", "polen", "syrer", "flüchtlinge"],
+    ("de", "adult", "one"): ["mensch", "frau", "mann"],
+    ("de", "adult", "many"): ["menschen", "frauen", "männer"],
+    ("fr", "belief", "one"): ["croyant", "musulman", "juif", "chrétien"],
+    ("fr", "belief", "many"): ["croyants", "musulmans", "juifs", "chrétiens"],
+    ("fr", "origin", "many"): ["étrangers", "arabes", "africains", "asiatiques", "réfugiés"],
+    ("fr", "colour", "many"): ["gens", "noirs", "blancs"],
+    ("fr", "adult", "one"): ["personne", "femme", "homme"],
+    ("fr", "adult", "many"): ["personnes", "femmes", "hommes"],
+    ("es", "belief", "one"): ["creyente", "musulmán", "judío", "cristiano"],
+    ("es", "belief", "many"): ["creyentes", "musulmanes", "judíos", "cristianos"],
+    ("es", "origin", "many"): ["extranjeros", "inmigrantes", "refugiados", "africanos", "gitanos"],
+    ("es", "adult", "one"): ["persona", "mujer", "hombre"],
+    ("es", "adult", "many"): ["personas", "mujeres", "hombres"],
 }
+#: Of each term its list; a term in lists of two languages has the first.
+LIST_OF: dict[str, list[str]] = {}
+for _terms in IDENTITY_TERMS.values():
+    for _term in _terms[1:]:
+        LIST_OF.setdefault(_term, _terms)
+#: The end of a sentence.
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 PREFIXES = range(3, 9)
 #: Entries that a worker keeps of the words it has met.
 CACHE = 400_000
@@ -67,10 +102,11 @@ def features(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    """bias and the nonzero weights; a bounded number of them."""
+    """bias and the nonzero weights, a bounded number of them. Unless fitted it knows the share of labels alone."""
 
     bias: float
     weights: dict[int, float] = field(default_factory=dict)
+    fitted: bool = True
 
     def score(self, words: Iterable[str], known: dict[str, tuple[int, ...]]) -> float:
         hits: set[int] = set()
@@ -86,18 +122,36 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words with every identity term replaced by the next one of its kind that is not there; None without terms."""
-    out, found = set(words), False
-    for terms in IDENTITY_TERMS.values():
-        mine = [t for t in terms if t in words]
-        others = [t for t in terms if t not in words]
-        for i, t in enumerate(mine):
-            if others:
-                found = True
-                out.discard(t)
-                out.add(others[(terms.index(t) + i) % len(others)])
-    return out if found else None
+def swapped(words: set[str]) -> list[set[str]]:
+    """The words with every identity term replaced by another group's term, and by the neutral word, of its language, kind and number.
+
+    None where there are no terms. Of the other groups the next one that is not mentioned is taken; two terms of one list get different ones.
+    """
+    mine = sorted(w for w in words if w in LIST_OF)
+    if not mine:
+        return []
+    rest = words.difference(mine)
+    other, taken = set(rest), set(mine)
+    for term in mine:
+        terms = LIST_OF[term]
+        groups = terms[1:]
+        at = groups.index(term)
+        free = [t for t in groups[at + 1 :] + groups[:at] if t not in taken]
+        # where all groups are mentioned the next one is taken all the same
+        to = free[0] if free else groups[(at + 1) % len(groups)]
+        taken.add(to)
+        other.add(to)
+    return [other, rest | {LIST_OF[term][0] for term in mine}]
+
+
+def changes(words: set[str]) -> list[tuple[list[int], list[int]]]:
+    """Of each swap in a sentence of these words the features that come and those that go."""
+    mine = {f for w in words for f in features(w)}
+    out = []
+    for other in swapped(words):
+        then = {f for w in other for f in features(w)}
+        out.append((sorted(then - mine), sorted(mine - then)))
+    return [c for c in out if c[0] or c[1]]
 
 
 class Rows:
@@ -118,116 +172,137 @@ class Rows:
 
 @dataclass
 class Sample:
-    """Labelled texts by their features' places in ids: row i has found[ends[i]:ends[i + 1]]. changes: of each swap what comes and what goes."""
+    """Labelled texts by their features' places in ids: row i has found[ends[i]:ends[i + 1]]. swaps: what comes, what goes, and in how many sentences."""
 
     ids: np.ndarray
     toxic: np.ndarray
     ends: np.ndarray
     found: np.ndarray
-    changes: list[tuple[list[int], list[int]]]
+    swaps: list[tuple[list[int], list[int], int]]
+
+
+class Objective:
+    """loss(w, c): mean logistic loss + fairness * mean squared change of score under swaps. The L1 term is apart."""
+
+    def __init__(self, sample: Sample, fairness: float):
+        self.y, self.fairness = sample.toxic.astype(np.float64), fairness
+        self.n, self.width = len(self.y), len(sample.ids)
+        self.x = Rows(sample.ends, sample.found, self.width)
+        lengths = [len(p) + len(m) for p, m, _ in sample.swaps]
+        values = [v for p, m, _ in sample.swaps for v in [1.0] * len(p) + [-1.0] * len(m)]
+        self.d = Rows(np.cumsum([0, *lengths]), np.array([f for p, m, _ in sample.swaps for f in p + m], np.int32), self.width, np.array(values, np.float64))
+        counts = np.array([n for *_, n in sample.swaps], np.float64)
+        self.share = counts / (counts.sum() or 1.0)
+
+    def loss(self, w: np.ndarray, c: float) -> float:
+        z = self.x.dot(w) + c
+        return float(np.mean(np.logaddexp(0, z) - self.y * z) + self.fairness * np.sum(self.share * self.d.dot(w) ** 2))
+
+    def gradient(self, w: np.ndarray, c: float) -> tuple[np.ndarray, float]:
+        gap = 1 / (1 + np.exp(-np.clip(self.x.dot(w) + c, -60, 60))) - self.y
+        return self.x.back(gap) / self.n + 2 * self.fairness * self.d.back(self.share * self.d.dot(w)), float(np.mean(gap))
+
+    def step(self) -> float:
+        """A step below the inverse of the gradient's Lipschitz constant, by power iteration over both quadratic forms."""
+        v, top = np.ones(self.width) / math.sqrt(self.width), 1.0
+        for _ in range(20):
+            v = self.x.back(self.x.dot(v)) / (4 * self.n) + 2 * self.fairness * self.d.back(self.share * self.d.dot(v))
+            top = float(np.linalg.norm(v)) or 1.0
+            v /= top
+        return 1 / (1.2 * top + 0.3)
 
 
 def fit(sample: Sample, l1: float = 1e-4, fairness: float = 1.0, steps: int = 300) -> Model:
     """Fit by accelerated proximal gradient: mean logistic loss, L1, and fairness * mean squared change under swaps."""
-    y = sample.toxic.astype(np.float64)
-    n, n_toxic = len(y), int(y.sum())
-    prior = math.log((n_toxic + 0.5) / (n - n_toxic + 0.5))
+    n, n_toxic = len(sample.toxic), int(sample.toxic.sum())
+    prior = math.log((n_toxic + 0.5) / (n - n_toxic + 1.0))
     if not 0 < n_toxic < n:
-        return Model(prior)
-    ids, width = sample.ids, len(sample.ids)
-    x = Rows(sample.ends, sample.found, width)
-    changes = [dict.fromkeys(plus, 1.0) | dict.fromkeys(minus, -1.0) for plus, minus in sample.changes]
-    changes += [dict.fromkeys(np.searchsorted(ids, sorted(features(t))).tolist(), 1.0) for t in identity_terms()]
-    d = Rows(np.cumsum([0, *map(len, changes)]), np.array([c for row in changes for c in row], np.int32), width, np.array([v for row in changes for v in row.values()]))
-    # Lipschitz bound of the smooth part, by power iteration over both quadratic forms
-    v = np.ones(width) / math.sqrt(width)
-    for _ in range(20):
-        v = x.back(x.dot(v)) / (4 * n) + 2 * fairness * d.back(d.dot(v)) / d.n
-        top = float(np.linalg.norm(v)) or 1.0
-        v /= top
-    step = 1 / (1.2 * top + 0.3)
-    w, c, w_old, c_old, t = np.zeros(width), prior, np.zeros(width), prior, 1.0
+        return Model(prior, fitted=False)
+    goal = Objective(sample, fairness)
+    step = goal.step()
+    w, c, w_old, c_old, t = np.zeros(goal.width), prior, np.zeros(goal.width), prior, 1.0
     for _ in range(steps):
         t_new = (1 + math.sqrt(1 + 4 * t * t)) / 2
         ahead = (t - 1) / t_new
         u, bias = w + ahead * (w - w_old), c + ahead * (c - c_old)
-        p = 1 / (1 + np.exp(-np.clip(x.dot(u) + bias, -60, 60)))
-        down = x.back(p - y) / n + 2 * fairness * d.back(d.dot(u)) / d.n
+        down, down_c = goal.gradient(u, bias)
         w_old, c_old, t = w, c, t_new
         w = u - step * down
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        c = bias - step * float(np.mean(p - y))
-    return Model(float(c), {int(ids[i]): float(w[i]) for i in np.flatnonzero(w)})
+        c = bias - step * down_c
+    return Model(float(c), {int(sample.ids[i]): float(w[i]) for i in np.flatnonzero(w)})
 
 
 def identity_terms() -> list[str]:
-    return [t for kind in IDENTITY_TERMS.values() for t in kind]
+    return list(LIST_OF)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, found, swaps): a text's features, and the changes of each swap in each of its sentences."""
     known: dict[str, str] = {}
+    change = pa.struct([("plus", pa.list_(pa.int64())), ("minus", pa.list_(pa.int64()))])
     for data in batches:
-        found, plus, minus = [], [], []
+        found, swaps = [], []
         for text in data.column(2).to_pylist():
-            words = plain_words(text or "", known)
-            mine = {f for w in words for f in features(w)}
-            other = swapped(words)
-            then = mine if other is None else {f for w in other for f in features(w)}
-            found.append(sorted(mine))
-            plus.append(sorted(then - mine))
-            minus.append(sorted(mine - then))
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([data.column(0), data.column(1), *(pa.array(c, longs) for c in (found, plus, minus))], names=["doc_id", "toxic", "found", "plus", "minus"])
+            found.append(sorted({f for w in plain_words(text or "", known) for f in features(w)}))
+            sentences = [plain_words(s, known) for s in SENTENCE.split(text)] if text and not LIST_OF.keys().isdisjoint(plain_words(text, known)) else []
+            swaps.append([{"plus": p, "minus": m} for words in sentences for p, m in changes(words)])
+        yield pa.RecordBatch.from_arrays([data.column(0), data.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(swaps, pa.list_(change))], names=["doc_id", "toxic", "found", "swaps"])
 
 
 def _placed(ids: np.ndarray):
     """Features as places in the sorted ids; others are left out."""
 
-    def places(column: pa.ListArray) -> pa.Array:
-        ends, values = column.offsets.to_numpy(), column.values.to_numpy()
-        at = np.minimum(np.searchsorted(ids, values), len(ids) - 1)
-        known = ids[at] == values
-        total = np.concatenate([[0], np.cumsum(known)])[ends]
-        inside = np.zeros(len(values), bool)
-        inside[ends[0] : ends[-1]] = True
-        return pa.ListArray.from_arrays(pa.array((total - total[0]).astype(np.int32)), pa.array(at[known & inside].astype(np.int32)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in batches:
-            yield pa.RecordBatch.from_arrays([data.column(0), data.column(1), *(places(data.column(i)) for i in (2, 3, 4))], names=data.schema.names)
+            column = data.column(2)
+            ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+            at = np.minimum(np.searchsorted(ids, values), len(ids) - 1)
+            known = ids[at] == values
+            total = np.concatenate([[0], np.cumsum(known)])[ends]
+            places = at[ends[0] : ends[-1]][known[ends[0] : ends[-1]]]
+            found = pa.ListArray.from_arrays(pa.array((total - total[0]).astype(np.int32)), pa.array(places.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([data.column(0), data.column(1), found], names=["doc_id", "toxic", "found"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8_000, max_features: int = 20_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 8_000, max_features: int = 20_000, lexicon: bool = True, **options) -> Model:
     """A model from at most max_labelled labelled rows, those whose ids hash lowest, and the max_features features that tell most.
 
     labels: doc_id and toxic. Rows with a null in either, or a toxic other than 0 and 1, are left out; of several
-    labels of a doc_id the largest counts, and of rows that repeat a doc_id the one with the lowest text. Both sample
-    and model are bounded, so both may go to the driver; texts do not, only the places of their chosen features.
+    labels of a doc_id the largest counts, and of rows that repeat a doc_id the one with the lowest text. The sample
+    is bounded, so the places of its chosen features may go to the driver; texts do not. max_features bounds the model, not the data: a feature
+    that one labelled text alone has tells nothing of others. lexicon adds a swap of each term on its own.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "toxicity")
+    work = Workspace(docs.sparkSession, "toxicity")
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id", F.col("toxic").cast("int").alias("toxic")).agg(F.min("text").alias("text"))
-    sample = work.put("sample", rows.mapInArrow(_hashed, "doc_id long, toxic int, found array<long>, plus array<long>, minus array<long>"))
+    sample = work.put("sample", rows.mapInArrow(_hashed, "doc_id long, toxic int, found array<long>, swaps array<struct<plus: array<long>, minus: array<long>>>"))
     n, n_toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     # the features whose presence tells most of the label, by a smoothed log-likelihood ratio
     seen = sample.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("n1")).where("n >= 2")
     a, b, a0, b0 = F.col("n1") + 0.5, F.col("n") - F.col("n1") + 0.5, n_toxic + 1.0, n - n_toxic + 1.0
     gain = F.abs(a * F.log(a / (a + b) * ((a0 + b0) / a0)) + b * F.log(b / (a + b) * ((a0 + b0) / b0)))
     best = seen.select("f", F.round(gain, 9).alias("gain")).orderBy(F.desc("gain"), "f").limit(max_features)
-    ids = np.unique(np.array([r.f for r in best.collect()] + [f for t in identity_terms() for f in features(t)], np.int64))
-    table = sample.mapInArrow(_placed(ids), "doc_id long, toxic int, found array<int>, plus array<int>, minus array<int>").toArrow()
-    table = table.take(np.argsort(table.column("doc_id").to_numpy())).combine_chunks()
+    terms = {t for terms in IDENTITY_TERMS.values() for t in terms}
+    ids = np.unique(np.array([r.f for r in best.collect()] + [f for t in terms for f in features(t)], np.int64))
+    table = sample.select("doc_id", "toxic", "found").mapInArrow(_placed(ids), "doc_id long, toxic int, found array<int>").toArrow()
+    table = table.take(np.argsort(table.column("doc_id").to_numpy(), kind="stable")).combine_chunks()
     found = table.column("found").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
     found = found.chunk(0) if isinstance(found, pa.ChunkedArray) else found
     ends = found.offsets.to_numpy().astype(np.int64)
-    changes = [(a, b) for a, b in zip(table.column("plus").to_pylist(), table.column("minus").to_pylist(), strict=True) if a or b]
+    # equal swaps of many sentences are one row, so there are as many as pairs of terms in the same surroundings
+    counted = sample.select(F.inline("swaps")).groupBy("plus", "minus").agg(F.count("*").alias("n"))
+    swaps = sorted((list(r.plus), list(r.minus), r.n) for r in counted.collect())
+    if lexicon:
+        swaps += [(p, m, 1) for t in identity_terms() for p, m in changes({t})]
     work.drop("sample")
-    return fit(Sample(ids, table.column("toxic").to_numpy(), ends - ends[0], found.values.to_numpy()[ends[0] : ends[-1]], changes), **options)
+    place = {int(f): i for i, f in enumerate(ids)}
+    swaps = [([place[f] for f in p if f in place], [place[f] for f in m if f in place], n) for p, m, n in swaps]
+    return fit(Sample(ids, table.column("toxic").to_numpy(), ends - ends[0], found.values.to_numpy()[ends[0] : ends[-1]], swaps), **options)
 
 
 def held_out(id_col: str):
@@ -252,7 +327,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Learns from the labels of rows that are not held out. score is the probability of label 1, from the text alone;
     a null or empty text gets the score of no words. Without labels of both kinds the score is the (smoothed) share
-    of toxic labels for every text. Repeated rows are scored alike; an empty table gives an empty result; further
+    of toxic labels for every text, a third without any. Repeated rows are scored alike; an empty table gives an empty result; further
     columns are not read.
     """
     lean(docs.sparkSession)
@@ -261,9 +336,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns unchanged, whose score is below 0.5; defined as in toxicity()."""
+    """The rows of docs, all columns unchanged, whose score is below 0.5; defined as in toxicity().
+
+    Without labels of both kinds nothing tells toxic texts from others, and all rows stay.
+    """
     lean(docs.sparkSession)
     model = train(docs, labels.where(~held_out("doc_id")), id_col, text_col, **options)
+    if not model.fitted:
+        return docs
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

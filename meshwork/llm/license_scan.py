@@ -3,8 +3,10 @@
 The inverse document frequencies of the templates' terms are counted over all files, as sums per partition, so their number is that
 of the terms and not of the files. Every line, every run of lines without one between that has no terms, every sentence of such a
 run, every window of as many terms as a template has, and the whole of each file is then compared with the
-templates. What cannot reach the least score is left out by bounds that hold for every part of a text. A file with a match has that licence from its header; a licence file
-gives its licence to its directory; a file without one inherits that of the nearest directory above it, by joins over
+templates. What cannot reach the least score is left out by bounds that hold for every part of a text. Licences of one family differ in a
+few words that a cosine hardly sees, so a place counts for a licence only if it holds the terms that tell the licence from its
+family, and none of those that tell the others. A file with a match has that licence from its header; a licence file, which is one by its
+name or because its whole text is a licence, gives its licence to its directory; a file without one inherits that of the nearest directory above it, by joins over
 paths.
 """
 
@@ -40,6 +42,25 @@ TEMPLATES = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -53,8 +74,33 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["Licensed under CC0 1.0.", "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication.", "SPDX-License-Identifier: CC0-1.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+_NC, _SA, _ND = ("nc", "noncommercial"), ("sa", "sharealike"), ("nd", "noderivatives", "noderivs")
+_GNU = ("gpl", "gpl-2.0", "gpl-3.0", "gnu")
+#: Of licences that have near relatives, the terms of which a place has to hold one each, and those it must not hold.
+TELLING = {
+    "GPL-2.0": ([("2", "2.0", "gpl-2.0", "gplv2"), _GNU], ("affero", "lesser", "library", "agpl", "lgpl", "3")),
+    "GPL-3.0": ([("3", "3.0", "gpl-3.0", "gplv3"), _GNU], ("affero", "lesser", "library", "agpl", "lgpl", "2")),
+    "AGPL-3.0": ([("affero", "agpl-3.0", "agpl"), ("3", "3.0", "agpl-3.0")], ("lesser",)),
+    "LGPL-2.1": ([("lesser", "lgpl-2.1", "lgpl"), ("2.1", "lgpl-2.1")], ("affero",)),
+    "LGPL-3.0": ([("lesser", "lgpl-3.0", "lgpl"), ("3", "3.0", "lgpl-3.0")], ("affero",)),
+    "BSD-3-Clause": ([("neither", "endorse", "style", "bsd-3")], ()),
+    "BSD-2-Clause": ([("reproduce", "bsd-2")], ("neither", "endorse")),
+    "Apache-2.0": ([("apache", "license"), ("apache", "apache-2.0", "express", "implied")], ()),
+    "CC-BY-4.0": ([("4.0", "4")], (*_NC, *_SA, *_ND)),
+    "CC-BY-NC-4.0": ([_NC, ("4.0", "4")], (*_SA, *_ND)),
+    "CC-BY-SA-4.0": ([_SA, ("4.0", "4")], (*_NC, *_ND)),
+    "CC-BY-ND-4.0": ([_ND, ("4.0", "4")], (*_NC, *_SA)),
+    "CC-BY-NC-SA-4.0": ([_NC, _SA, ("4.0", "4")], _ND),
+    "CC0-1.0": ([("cc0", "cc0-1.0", "dedication", "dedicated")], ()),
+}
+#: A licence whose text goes on where another's ends; where the first is found, the second is none.
+GOES_ON = {"BSD-3-Clause": "BSD-2-Clause"}
 TERM = re.compile(r"[a-z0-9]+(?:[.-][0-9]+)*")
 SENTENCE = re.compile(r"[.!?;:]\s")
 #: Bounds are computed in another order than scores; this much is allowed for rounding.
@@ -62,7 +108,7 @@ SLACK = 1e-9
 #: What marks a file as its directory's licence, by its name.
 LICENSE_FILE = r"(?i)^(un)?(licen[cs]es?|copying|copyright|notice)([.\-_].*)?$"
 TERM_TYPES = "term string, n long"
-MATCH_TYPES = "file long, path string, license string, score double, line long"
+MATCH_TYPES = "file long, path string, license string, score double, line long, whole boolean"
 
 
 def terms(text: str) -> list[str]:
@@ -112,8 +158,8 @@ class Matcher:
             for t, w in vector.items():
                 self.by_term.setdefault(t, []).append((i, w))
 
-    def best(self, counts: Counter) -> tuple[float, str]:
-        """The best cosine and its licence; of equal ones the first by name."""
+    def best(self, counts: Counter, least: float = 0.0) -> list[tuple[float, str]]:
+        """The licences with a cosine of least or more whose telling terms allow it, with their cosines, the best first, then by name."""
         dots: dict[int, float] = {}
         norm = 0.0
         for t, c in counts.items():
@@ -124,10 +170,19 @@ class Matcher:
             norm += (c * w) ** 2
             for i, v in self.by_term[t]:
                 dots[i] = dots.get(i, 0.0) + c * w * v
-        if not dots:
-            return 0.0, ""
-        i = min(dots, key=lambda j: (-dots[j], self.vectors[j][0]))
-        return dots[i] / math.sqrt(norm), self.vectors[i][0]
+        norm = math.sqrt(norm)
+        found: dict[str, float] = {}
+        for i, dot in dots.items():
+            name = self.vectors[i][0]
+            if dot / norm >= max(least, found.get(name, 0.0)) and self.tells(name, counts):
+                found[name] = dot / norm
+        return sorted(((score, name) for name, score in found.items()), key=lambda x: (-x[0], x[1]))
+
+    @staticmethod
+    def tells(name: str, counts: Counter) -> bool:
+        """Whether the terms allow a licence."""
+        needs, bars = TELLING.get(name, ((), ()))
+        return all(any(t in counts for t in some) for some in needs) and not any(t in counts for t in bars)
 
     def cosine(self, i: int, counts: Counter) -> float:
         """The cosine to template i."""
@@ -161,8 +216,8 @@ class Matcher:
         return starts, bounds[starts]
 
 
-def matches(text: str, matcher: Matcher, least: float) -> dict[str, tuple[float, int]]:
-    """Of each licence found in a text the best score and the first line (from 0) of the place."""
+def matches(text: str, matcher: Matcher, least: float) -> dict[str, tuple[float, int, bool]]:
+    """Of each licence found in a text the best score, the first line (from 0) of the place, and whether the whole text is that licence."""
     text = text.lower()
     found = TERM.findall(text)
     likely = matcher.could(set(found), least)
@@ -176,7 +231,8 @@ def matches(text: str, matcher: Matcher, least: float) -> dict[str, tuple[float,
 
     def add(counts: Counter, line: int) -> None:
         if not matcher.idf.keys().isdisjoint(counts):
-            keep(*matcher.best(counts), line)
+            for score, name in matcher.best(counts, least)[:1]:
+                keep(score, name, line)
 
     run: list[str] = []
     first = 0
@@ -197,8 +253,10 @@ def matches(text: str, matcher: Matcher, least: float) -> dict[str, tuple[float,
                 add(Counter(TERM.findall(part)), at + len(part[: m.start()].split("\n")) - 1 if (m := TERM.search(part)) else at)
                 at += (part + gap).count("\n")
         run, first = [], i + 1
+    every = Counter(found)
+    whole = {name for _, name in matcher.best(every, least)}
     if len(lines) > 1:
-        add(Counter(found), 0)
+        add(every, 0)
     for i in likely:
         name, size = matcher.vectors[i][0], matcher.lengths[i]
         if size > len(found):
@@ -206,8 +264,13 @@ def matches(text: str, matcher: Matcher, least: float) -> dict[str, tuple[float,
         for start, bound in zip(*(a.tolist() for a in matcher.windows(i, found, least)), strict=True):
             if bound < out.get(name, (0.0, 0))[0]:
                 break
-            keep(matcher.cosine(i, Counter(found[start : start + size])), name, places[start])
-    return out
+            counts = Counter(found[start : start + size])
+            if matcher.tells(name, counts):
+                keep(matcher.cosine(i, counts), name, places[start])
+    for name, other in GOES_ON.items():
+        if name in out:
+            out.pop(other, None)
+    return {name: (*place, name in whole) for name, place in out.items()}
 
 
 def _sentences(text: str) -> Iterator[tuple[str, str]]:
@@ -223,9 +286,9 @@ def _matches(templates: dict[str, list[str]], idf: dict[str, float], rare: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, idf, rare)
         for data in batches:
-            rows = [(file, path, name, score, line) for file, path, text in zip(*(c.to_pylist() for c in data.columns), strict=True) for name, (score, line) in matches(text or "", matcher, least).items()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64()), strict=True)], names=["file", "path", "license", "score", "line"])
+            rows = [(file, path, name, *place) for file, path, text in zip(*(c.to_pylist() for c in data.columns), strict=True) for name, place in matches(text or "", matcher, least).items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.bool_()), strict=True)], names=["file", "path", "license", "score", "line", "whole"])
 
     return run
 
@@ -244,7 +307,7 @@ def ancestors(folder: Column) -> Column:
 def license_scan(files: DataFrame, id_col: str = "file", path_col: str = "path", text_col: str = "text", templates: dict[str, list[str]] | None = None, least: float = 0.75, work: Workspace | None = None) -> DataFrame:
     """(file, path, license, origin, score, line, from_dir) of every row of files.
 
-    origin is "file" for a licence file, "header" for a match in another file, "inherited" for a file without a match below a directory
+    origin is "file" for a licence file (by its name, or because its whole text reaches least), "header" for a match in another file, "inherited" for a file without a match below a directory
     with a licence file, and "none". Of several matches the best score counts, then the first name. A directory has the best
     matching licence of its licence files, and from_dir names the directory that a licence is inherited from. The
     whole text is searched. A null text matches nothing, a null path is a file at the top without a name; rows that repeat an id
@@ -257,16 +320,16 @@ def license_scan(files: DataFrame, id_col: str = "file", path_col: str = "path",
     texts = files.select(F.col(id_col).cast("long").alias("file"), F.coalesce(F.col(path_col), F.lit("")).alias("path"), F.col(text_col).alias("text"))
     idf, rare = inverse_frequencies(texts, "text", vocabulary(templates))
     found = work.put("found", texts.mapInArrow(_matches(templates, idf, rare, least), MATCH_TYPES))
-    best = found.groupBy("file", "path").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", "line")).alias("b"))
-    best = best.select(F.col("file").alias("m_file"), F.col("path").alias("m_path"), "b.license", (-F.col("b.minus")).alias("score"), "b.line")
+    best = found.groupBy("file", "path").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license", "line", "whole")).alias("b"))
+    best = best.select(F.col("file").alias("m_file"), F.col("path").alias("m_path"), "b.license", (-F.col("b.minus")).alias("score"), "b.line", "b.whole")
     names = texts.select("file", "path", directory(F.col("path")).alias("dir"))
     own = names.join(best, F.col("file").eqNullSafe(F.col("m_file")) & (F.col("path") == F.col("m_path")), "left").drop("m_file", "m_path")
-    own = work.put("own", own.withColumn("names_it", F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENSE_FILE)))
-    given = own.where("names_it and license is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b")).select(F.col("dir").alias("from_dir"), F.col("b.license").alias("dir_license"))
+    own = work.put("own", own.withColumn("gives", F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENSE_FILE) | F.coalesce("whole", F.lit(False))).drop("whole"))
+    given = own.where("gives and license is not null").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("minus"), "license")).alias("b")).select(F.col("dir").alias("from_dir"), F.col("b.license").alias("dir_license"))
     folders = work.put("folders", own.groupBy("dir").agg(F.count("*").alias("size")))
     above = folders.select("dir", "size", F.posexplode(ancestors(F.col("dir"))).alias("depth", "from_dir")).join(given, "from_dir")
     nearest = above.groupBy("dir", "size").agg(F.max(F.struct("depth", "from_dir", "dir_license")).alias("n")).select("dir", "size", "n.from_dir", "n.dir_license")
     done = join_groups(own, work.put("nearest", nearest), ["dir"], "size")
     inherits = F.col("license").isNull() & F.col("dir_license").isNotNull()
-    origin = F.when(F.col("license").isNotNull(), F.when(F.col("names_it"), "file").otherwise("header")).when(inherits, "inherited").otherwise("none")
+    origin = F.when(F.col("license").isNotNull(), F.when(F.col("gives"), "file").otherwise("header")).when(inherits, "inherited").otherwise("none")
     return done.select("file", "path", F.coalesce("license", "dir_license").alias("license"), origin.alias("origin"), "score", "line", F.when(inherits, F.col("from_dir")).alias("from_dir"))

@@ -1,10 +1,11 @@
 """Line dedup: levelled sorted runs of line hashes.
 
-A store of runs holds, for every line key seen so far, in how many documents it was found. Documents come in
-batches. A batch's distinct (key, document) pairs are merge-anti-joined with the runs: keys that the runs already
-know as frequent are decided and are not stored again; the others are counted and written as a new sorted run of
-level 0. When a level holds ``fan`` runs they are compacted into one run of the next level, so a key is rewritten
-a logarithmic number of times. At the end the runs name the frequent keys, and the documents lose those lines.
+A store of runs holds, for every line key seen so far, in how many documents it was found by then. Documents come in
+batches. A batch's keys are counted and merge-joined with the runs, which lie in sorted buckets of the keys, so only the batch
+moves: keys that a run knows as frequent are decided and drop out; the others get their count so far added and are written as a
+new sorted run of level 0. When a level holds ``fan`` runs they are merged into one run of the next level, bucket by
+bucket, so a key is rewritten a logarithmic number of times. Counts only grow, so of several runs with a key the largest count is the last one,
+and a key is frequent in one run at most. At the end the runs name the frequent keys, and the documents lose those lines.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import types as T
 from meshwork.llm.common import HOT_PARTS, WHITE, Workspace, fresh, raw
 
 BLANK = WHITE.encode()
-PAIR_TYPES = "batch int, hi long, lo long, doc_id long"
-PAIRS = pa.schema([("batch", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("doc_id", pa.int64())])
+PAIR_TYPES = "batch int, hi long, lo long, doc long"
+PAIRS = pa.schema([("batch", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("doc", pa.int64())])
 
 
 def key_bytes(line: bytes) -> bytes:
@@ -36,7 +37,7 @@ def halves(key: bytes) -> tuple[int, int]:
 
 
 def _pairs(n_batches: int, least_chars: int):
-    """(batch, hi, lo, doc_id) for each distinct key of a row's text with at least least_chars code points."""
+    """(batch, hi, lo, doc) for each distinct key of a row's text with at least least_chars code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data in batches:
@@ -56,45 +57,51 @@ def _pairs(n_batches: int, least_chars: int):
 
 
 class LineRuns:
-    """The levelled runs, as Parquet tables in the shared folder: hi, lo, n, sorted by (hi, lo) in hash partitions."""
+    """The levelled runs, as tables in the shared folder: hi, lo, n, in sorted buckets of (hi, lo)."""
 
     def __init__(self, spark: SparkSession, least_docs: int, fan: int = 2, work: Workspace | None = None):
         self.spark, self.least_docs, self.fan = spark, least_docs, fan
         self.work = work or Workspace(spark, "lines")
-        self.levels: list[list[str]] = []
+        self.levels: list[list[tuple[str, DataFrame]]] = []
         self.made = 0
 
     def _write(self, counts: DataFrame, level: int) -> None:
         name = f"run{self.made}-level{level}"
         self.made += 1
-        self.work.put(name, counts.sortWithinPartitions("hi", "lo"))
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels[level].append((name, self.work.buckets(name, counts, buckets, "hi", "lo")))
 
-    def _read(self, names: list[str]) -> DataFrame:
-        return self.spark.read.schema("hi long, lo long, n long").parquet(*(self.work.at(n) for n in names))
-
-    def runs(self) -> list[str]:
-        return [n for level in self.levels for n in level]
+    def runs(self) -> list[tuple[str, DataFrame]]:
+        return [run for level in self.levels for run in level]
 
     def frequent(self) -> DataFrame:
-        """Keys found in at least least_docs documents, with their counts."""
-        if not self.runs():
-            return self.spark.createDataFrame([], "hi long, lo long, n long")
-        return self._read(self.runs()).groupBy("hi", "lo").agg(F.sum("n").alias("n")).where(F.col("n") >= self.least_docs)
+        """(hi, lo): keys found in at least least_docs documents. Each is so in one run, so nothing is summed up."""
+        found = self.spark.createDataFrame([], "hi long, lo long")
+        for _, run in self.runs():
+            found = found.union(run.where(F.col("n") >= self.least_docs).select("hi", "lo"))
+        return found
 
     def add(self, pairs: DataFrame) -> None:
         """Add a batch: a row (hi, lo) for each document and key. All rows of a document are in one batch."""
         counts = pairs.groupBy("hi", "lo").agg(F.count("*").alias("n"))
-        if self.runs():
-            counts = counts.join(self.frequent().select("hi", "lo"), ["hi", "lo"], "left_anti")
+        for _, run in self.runs():
+            old = run.select("hi", "lo", F.col("n").alias("so_far"))
+            counts = counts.join(old, ["hi", "lo"], "left").select("hi", "lo", "n", *([F.greatest("most", "so_far").alias("most")] if "most" in counts.columns else [F.col("so_far").alias("most")]))
+        if "most" in counts.columns:
+            fresh_keys = counts.where(F.col("most").isNull() | (F.col("most") < self.least_docs))
+            counts = fresh_keys.select("hi", "lo", (F.col("n") + F.coalesce("most", F.lit(0))).alias("n"))
         self._write(counts, 0)
         level = 0
         while len(self.levels[level]) >= self.fan:
             old, self.levels[level] = self.levels[level], []
-            self._write(self._read(old).groupBy("hi", "lo").agg(F.sum("n").alias("n")), level + 1)
-            self.work.drop(*old)
+            merged = old[0][1]
+            for _, run in old[1:]:
+                both = merged.join(run.select("hi", "lo", F.col("n").alias("other")), ["hi", "lo"], "full")
+                merged = both.select("hi", "lo", F.greatest("n", "other").alias("n"))
+            self._write(merged, level + 1)
+            self.work.drop(*(name for name, _ in old))
             level += 1
 
 
@@ -131,17 +138,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     work = work or Workspace(spark, "lines")
-    pairs = work.put("pairs", docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_pairs(n_batches, least_chars), PAIR_TYPES))
+    # rows of equal id and text have equal lines to drop, and so may rows whose marks meet by accident: only frequent keys are dropped
+    mark = F.xxhash64(F.col(id_col), F.col(text_col))
+    pairs = work.put("pairs", docs.select(mark.alias("doc"), F.col(text_col).alias("text")).mapInArrow(_pairs(n_batches, least_chars), PAIR_TYPES), "batch")
     store = LineRuns(spark, least_docs, fan, work)
     for i in range(n_batches):
         store.add(pairs.where(F.col("batch") == i))
     # what the batches after a key's decision left out is counted from the pairs themselves
-    frequent = work.put("frequent", store.frequent().select("hi", "lo"))
-    work.drop(*store.runs())
+    frequent = work.put("frequent", store.frequent())
+    work.drop(*(name for name, _ in store.runs()))
     of, hi, lo, n_lines, n_dropped = fresh(docs, "of_doc", "drop_hi", "drop_lo", "n_lines", "n_dropped")
-    drops = lines_of(pairs, frequent).groupBy(F.col("doc_id").alias(of)).agg(F.collect_set(F.struct("hi", "lo")).alias("keys"))
+    drops = lines_of(pairs, frequent).groupBy(F.col("doc").alias(of)).agg(F.collect_set(F.struct("hi", "lo")).alias("keys"))
     drops = drops.select(of, F.col("keys.hi").alias(hi), F.col("keys.lo").alias(lo))
-    both = docs.join(drops, F.col(id_col).cast("long").eqNullSafe(F.col(of)), "left").select(*(docs[c] for c in docs.columns), hi, lo)
+    both = docs.join(drops, mark == F.col(of), "left").select(*(docs[c] for c in docs.columns), hi, lo)
     types = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
     return both.mapInArrow(_rewrite(docs.columns.index(text_col)), types)
 

@@ -2,8 +2,8 @@
 
 Every partition turns its texts into digests and sorts them into a run. The runs then meet in binomial rounds:
 in round r a run goes, in parts, to the slots that differ from its own in digit r alone, so that each row ends
-at the slot that its digest names. What meets there is merged in digest order, and of equal digests the best row
-and the count go on to the next round. Each round halves (or quarters: ``FAN``) what a slot still has to see, no
+at the slot that its digest names. What meets there is merged in digest order, which is Spark's external sort of the runs that
+arrived, since a shuffle does not keep them apart, and of equal digests the best row and the count go on to the next round. Each round halves (or quarters: ``FAN``) what a slot still has to see, no
 slot ever holds more than its share of the digests, and a text that fills a third of the table is one row per run
 after the first merge.
 """
@@ -14,6 +14,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -48,33 +49,30 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fold sorted rows: of each (digest, proof) the first row, which is the best one, and the sum of sizes.
+    """Fold sorted rows: of each (slot, digest, proof) the first row, which is the best one, and the sum of sizes.
 
-    Rows come sorted by slot, digest, proof and merit, so only one open group is held at a time.
+    Rows come sorted by slot, digest, proof and merit, so only the last group of a batch is held until the next one. Neighbours are
+    compared column by column, without a Python object for a row.
     """
-    held: tuple | None = None
-    total = 0
+    held: pa.RecordBatch | None = None
     for batch in batches:
-        out: list[tuple] = []
-        sizes: list[int] = []
-        columns = [c.to_pylist() for c in batch.columns]
-        for item in zip(*columns, strict=True):
-            if held is not None and item[3] == held[3] and item[4] == held[4] and item[0] == held[0]:
-                total += item[6]
-                continue
-            if held is not None:
-                out.append(held)
-                sizes.append(total)
-            held, total = item, item[6]
-        if out:
-            yield _batch(out, sizes)
+        if not batch.num_rows:
+            continue
+        batch = pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(batch.columns, RUNS.types, strict=True)], schema=RUNS)
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        starts = np.ones(rows.num_rows, bool)
+        if rows.num_rows > 1:
+            same = [pc.equal(rows.column(c).slice(1), rows.column(c).slice(0, rows.num_rows - 1)).to_numpy(zero_copy_only=False) for c in ("slot", "digest", "proof")]
+            starts[1:] = ~(same[0] & same[1] & same[2])
+        first = np.flatnonzero(starts)
+        sizes = np.add.reduceat(rows.column("size").to_numpy(), first)
+        best = rows.take(pa.array(first))
+        folded = pa.RecordBatch.from_arrays([*best.columns[:-1], pa.array(sizes, pa.int64())], schema=RUNS)
+        held = folded.slice(len(first) - 1)
+        if len(first) > 1:
+            yield folded.slice(0, len(first) - 1)
     if held is not None:
-        yield _batch([held], [total])
-
-
-def _batch(rows: list[tuple], sizes: list[int]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:6], RUNS.types, strict=False)), pa.array(sizes, pa.int64())], schema=RUNS)
+        yield held
 
 
 def merged_runs(digests: DataFrame, slots_at_least: int, fan: int = FAN) -> DataFrame:

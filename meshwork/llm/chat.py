@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,10 +70,16 @@ def loss_mask(starts: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 def load(path: str):
-    """The tokenizer of a file, with the marks as single tokens and offsets that keep white space."""
+    """The tokenizer of a file, with the marks as single tokens and offsets that keep white space.
+
+    The file has to stand at path on every executor, or to be shipped by SparkContext.addFile.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import AddedToken, Tokenizer
 
+    if not os.path.exists(path):
+        path = SparkFiles.get(os.path.basename(path))
+
     tokenizer = Tokenizer.from_file(path)
     tokenizer.add_special_tokens([AddedToken(m, special=True, normalized=False) for m in (START, MIDDLE, END)])
     return tokenizer
@@ -141,20 +148,26 @@ def format_chats(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 DIGEST_TYPES = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
 
 
-def masked_text(formatted: str, mask: list[bool], starts: list[int], ends: list[int]) -> list[str]:
+def masked_text(formatted: str, mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     """The unescaped text of each run of masked tokens, by the tokens' offsets."""
-    on = np.flatnonzero(np.diff(np.concatenate([[False], np.array(mask, bool), [False]]).astype(np.int8)))
+    on = np.flatnonzero(np.diff(np.concatenate([[False], np.asarray(mask, bool), [False]]).astype(np.int8)))
     return [unescape(formatted[starts[a] : ends[b - 1]]) for a, b in zip(on[::2], on[1::2], strict=True)]
 
 
+def _slices(column: pa.ListArray) -> list[np.ndarray]:
+    """Each row's list as an array, without a Python object for an entry."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for data in batches:
         out: list[list] = [[] for _ in range(8)]
-        for conv, formatted, ids, mask, starts, ends in zip(*(x.to_pylist() for x in data.columns), strict=True):
+        for conv, formatted, mask, starts, ends in zip(data.column(0).to_pylist(), data.column(1).to_pylist(), *(_slices(data.column(i)) for i in (2, 3, 4)), strict=True):
             turns = parse(formatted)
             loss = "".join(masked_text(formatted, mask, starts, ends))
             said = "".join(f"{role}\n{text}\n" for role, text in turns)
-            row = conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted), len(ids), sum(mask)
+            row = conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted), len(mask), int(mask.sum())
             for column, value in zip(out, row, strict=True):
                 column.append(value)
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -163,4 +176,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What can be read back from format_chats: turns, and the text under the mask, as lengths and SHA-256."""
-    return formatted.select("conv_id", "formatted", "ids", "mask", "starts", "ends").mapInArrow(_digest, DIGEST_TYPES)
+    return formatted.select("conv_id", "formatted", "mask", "starts", "ends").mapInArrow(_digest, DIGEST_TYPES)

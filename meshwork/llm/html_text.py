@@ -2,7 +2,8 @@
 
 The builder follows the rules of HTML for tags that may be left out: block tags end a paragraph, an item ends the
 item before it, cells and rows end each other, and tags that never close end with what holds them. The renderer
-walks the tree without recursion, so depth is no limit, and writes all visible text: paragraphs apart by an empty
+walks the tree without recursion, so depth is no limit, and writes all visible text (attributes and inline styles hide; rules of style
+sheets are not applied; an object shows what stands in its place): paragraphs apart by an empty
 line, other blocks on lines of their own, list items with marks and indents, table cells in aligned columns.
 """
 
@@ -22,7 +23,7 @@ from meshwork.llm.common import lean
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags whose content is text up to their end tag.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-HIDDEN = frozenset("head script style title template noscript noembed noframes iframe datalist audio video canvas object".split())
+HIDDEN = frozenset("head script style title template noscript noembed noframes iframe datalist audio video canvas".split())
 #: Tags that have a sense of their own within svg and math, where they are named with a slash: not drawn, or a line.
 UNDRAWN = frozenset("annotation annotation-xml clippath defs desc marker mask metadata pattern symbol".split())
 FOREIGN = UNDRAWN | {"text"}
@@ -54,8 +55,8 @@ NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 #: A quote opens a value only after "=" and white space, and where it is closed somewhere; elsewhere it is a sign like others.
 ATTRIBUTE = re.compile(r"""[ \t\n\r\f/]*+([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>]*+)))?""")
 SPACES = re.compile(r"[ \t\n\r\f]+")
-NONE = re.compile(r"display\s*:\s*none", re.I)
-VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+#: A declaration of a style attribute; a quoted value is one sign after another, so a ";" in it ends nothing.
+DECLARATION = re.compile(r"""([-a-zA-Z]+)\s*:((?:"[^"]*"|'[^']*'|[^;"'])*)""")
 
 
 def tokens(source: str) -> Iterator[tuple[str, str, str]]:
@@ -306,13 +307,25 @@ def visible(node: Node, shown: bool, attributes: dict[str, str]) -> tuple[bool,
     """(whether the element is laid out at all, whether its own text shows)."""
     if node.tag in HIDDEN or "hidden" in attributes or (node.tag == "dialog" and "open" not in attributes):
         return False, False
-    style = attributes.get("style", "")
-    if style:
-        if NONE.search(style):
-            return False, False
-        if m := VISIBILITY.search(style):
-            shown = m[1].lower() == "visible"
-    return True, shown
+    style = declared(attributes.get("style", ""))
+    if style.get("display") == "none":
+        return False, False
+    seen = style.get("visibility")
+    return True, shown if seen not in ("hidden", "collapse", "visible") else seen == "visible"
+
+
+def declared(style: str) -> dict[str, str]:
+    """The display and visibility that a style attribute sets: of several the last, but one that is marked important wins."""
+    out: dict[str, str] = {}
+    marked: set[str] = set()
+    for name, value in DECLARATION.findall(style) if ":" in style else ():
+        name, value = name.lower(), value.strip().lower()
+        bare = re.sub(r"\s*!\s*important$", "", value)
+        if name in ("display", "visibility") and (bare != value or name not in marked):
+            out[name] = bare
+            if bare != value:
+                marked.add(name)
+    return out
 
 
 def render(root: Node) -> str:

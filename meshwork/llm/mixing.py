@@ -13,6 +13,7 @@ needs nothing but its own posterior and the domains' vector v.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,13 +77,14 @@ def solve(m: list[list[float]], r: list[float], ridge: float) -> list[float]:
     return [rows[i][k] / rows[i][i] for i in range(k)]
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", tokens: float | None = None, buckets: int = 1 << 14, max_labelled: int = 20_000, smoothing: float = 0.5, tolerance: float = 1e-6, max_steps: int = 60, ridge: float = 1e-9, work: Workspace | None = None) -> DataFrame:
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", tokens: float | None = None, buckets: int = 1 << 14, max_labelled: int = 20_000, smoothing: float = 0.5, tolerance: float = 1e-6, max_steps: int = 200, ridge: float = 1e-9, work: Workspace | None = None) -> DataFrame:
     """(doc_id, sig, n_tokens, rate, p_<domain>...) for every row of docs.
 
     targets: the share of each domain, which need not add up to 1; of tokens in all, by default as many as docs has.
     labels: (doc_id, domain); domains without a target, and nulls, are left out. rate is how often a document
     is to be drawn on average, 0 or more, 1 where nothing has to change. Where the targets cannot be met the rates
-    are those of the least squares. A null text, or one without words, has 0 tokens and the priors as posterior. Repeated rows
+    are those of the least squares. Steps go on until the gap, or its change, is below tolerance; after max_steps a warning tells the gap
+    that is left. A null text, or one without words, has 0 tokens and the priors as posterior. Repeated rows
     get equal rates. sig is the xxhash64 of the text, by which a rate finds its row where doc_ids repeat. An empty table gives an empty
     result; further columns of docs are not read.
     """
@@ -112,6 +114,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float],
         if max(map(abs, v)) <= tolerance * 0.1:
             break
         x = F.greatest(F.lit(0.0), x + moved)
+        if step == max_steps:
+            warnings.warn(f"the rates did not settle in {max_steps} steps; the largest gap is {max(map(abs, gap)):.3g} of {budget:.3g} tokens", stacklevel=2)
         if step % STEPS_BETWEEN == 0:
             state = work.put(f"state{step}", state.withColumn("x", x))
             work.drop(last)

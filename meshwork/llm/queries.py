@@ -22,9 +22,8 @@ from meshwork.llm.url_filter import url_filter
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """documents as files: source/lang/number/name, where short texts that speak of a licence are named as its file."""
-    short = (F.size(F.split(F.coalesce("text", F.lit("")), "\n")) <= 2) & F.coalesce(F.col("text").rlike("(?i)licen[cs]e"), F.lit(False))
-    name = F.concat(F.when(short, "LICENSE-").otherwise("text-"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    """documents as files: source/lang/number/id.txt. No name says licence; the operator tells licence files by their whole text."""
+    name = F.concat("doc_id", F.lit(".txt"))
     return docs.select("doc_id", F.concat_ws("/", "source", "lang", F.pmod(F.col("doc_id"), F.lit(64)).cast("string"), name).alias("path"), "text")
 
 
@@ -40,6 +39,22 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
 
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with links between 200 hosts, made of the orders: the customer's number gives a page's host, both numbers that of its link.
+
+    Hosts 0 to 4 fit a rule that blocks, 5 to 9 one that allows, the others none.
+    """
+    n, m = F.col("o_custkey") % 200, (F.col("o_custkey") * 7 + F.col("o_orderkey")) % 200
+    host = lambda i: F.concat(F.lit("c"), i.cast("string"), F.when(i < 5, ".com").when(i < 10, ".example.com").otherwise(".info"))
+    html = F.concat(F.lit('<p data-href="https://c0.com/">see <!-- <a href="https://c1.com/"> --><a class=x href=\'https:&#47;/'), F.upper(host(m)), F.lit("/x?y'>there</a><a href=\"/here\">here</a>"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.concat(F.lit("https://"), host(n), F.lit("/en/7")).alias("url"), html.alias("html"))
+
+
+def url_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL filter on pages that link to each other, since the given pages hold no absolute links."""
+    return url_filter(linked_pages(spark, sf_dir))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -83,9 +98,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_license_scan, op2_html_text, op3_url_filter, op4_chat_format, op5_line_dedup, op6_decontamination, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_toxicity)
+    named = (op1_license_scan, op2_html_text, op3_url_filter, op4_chat_format, op5_line_dedup, op6_decontamination, op7_mixing, op8_jaccard_join, op9_exact_dedup, op10_toxicity, url_propagation)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": sql.URL_FILTER, "op4_chat_format": sql.CHAT_FORMAT, "op5_line_dedup": sql.LINE_DEDUP, "op6_decontamination": sql.DECONTAMINATION, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_exact_dedup": sql.EXACT_DEDUP}
+    return {"op3_url_filter": sql.URL_FILTER, "url_propagation": sql.URL_PROPAGATION, "op4_chat_format": sql.CHAT_FORMAT, "op5_line_dedup": sql.LINE_DEDUP, "op6_decontamination": sql.DECONTAMINATION, "op8_jaccard_join": sql.JACCARD_JOIN, "op9_exact_dedup": sql.EXACT_DEDUP}

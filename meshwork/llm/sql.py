@@ -77,49 +77,57 @@ FROM shared JOIN sizes ON id = item_id WHERE n_shared * 100 >= n_item * 80
 """
 
 
-def _rounds(name: str, edges: str, seeds: str, rounds: int = 10) -> str:
-    """CTEs of a personalised PageRank, one for each round."""
-    out = [f"{name}_shares AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM ({edges}))", f"{name}0 AS MATERIALIZED ({seeds})"]
-    for i in range(rounds):
-        out += [
-            f"{name}_sent{i} AS MATERIALIZED (SELECT dst AS host, 0.85 * sum(mass * share) AS mass FROM {name}{i} JOIN {name}_shares ON host = src GROUP BY 1)",
-            f"{name}{i + 1} AS MATERIALIZED (SELECT host, sum(mass) AS mass FROM (SELECT * FROM {name}_sent{i} UNION ALL SELECT host, mass * (1 - (SELECT coalesce(sum(mass), 0) FROM {name}_sent{i})) FROM {name}0) GROUP BY 1)",
-        ]
-    return ",\n".join(out)
-
-
 _URL = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
-_HREF = r"""'(?i)\bhref\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"''\s>]+)'"""
-
 URL_FILTER = f"""
 WITH rules(rule_host, rule_path, rule, rule_verdict) AS (
   VALUES ('com', '/en/', 'com/en/', 'block'), ('example.com', '/en/7', 'example.com/en/7', 'allow'), ('net', '/de/', 'net/de/', 'block'),
     ('example.net', '/de/8', 'example.net/de/8', 'allow'), ('org', '/es/', 'org/es/', 'block')
 ),
 seen AS (
-  SELECT page_id, html, translate(coalesce(regexp_extract(url, {_URL}, 1), ''), {UPPER}, {LOWER}) AS host, coalesce(regexp_extract(url, {_URL}, 2), '') AS path
+  SELECT page_id, translate(coalesce(regexp_extract(url, {_URL}, 1), ''), {UPPER}, {LOWER}) AS host, coalesce(regexp_extract(url, {_URL}, 2), '') AS path
   FROM pages
 ),
 judged AS MATERIALIZED (
-  SELECT page_id, html, host, path, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict
+  SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict, length(rule)) AS rule_verdict
   FROM seen LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-  GROUP BY page_id, html, host, path
+  GROUP BY ALL
 ),
-links AS (SELECT host AS src, unnest(regexp_extract_all(html, {_HREF}, 1)) AS href FROM judged),
-edges AS MATERIALIZED (
-  SELECT src, dst, count(*) AS w
-  FROM (SELECT src, translate(coalesce(regexp_extract(CASE WHEN starts_with(href, '//') THEN 'x:' || href ELSE href END, {_URL}, 1), ''), {UPPER}, {LOWER}) AS dst FROM links)
-  WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY 1, 2
+hosts AS (
+  SELECT host, count(*) FILTER (WHERE rule_verdict = 'allow') AS allowed, count(*) FILTER (WHERE rule_verdict = 'block') AS blocked FROM judged GROUP BY 1
 ),
-{_rounds("trust", "SELECT src, dst, w FROM edges", "SELECT host, count(*) / sum(count(*)) OVER () AS mass FROM judged WHERE rule_verdict = 'allow' GROUP BY host")},
-{_rounds("distrust", "SELECT dst AS src, src AS dst, w FROM edges", "SELECT host, count(*) / sum(count(*)) OVER () AS mass FROM judged WHERE rule_verdict = 'block' GROUP BY host")},
+-- the pages hold no absolute links, so trust and distrust stay with the seeds
 bad AS (
-  SELECT host FROM distrust10 d LEFT JOIN trust10 t USING (host) WHERE d.mass > 0.5 * (coalesce(t.mass, 0) + d.mass)
+  SELECT host FROM hosts WHERE blocked > 0 AND blocked / (SELECT sum(blocked) FROM hosts) > 0.5 * (allowed / (SELECT greatest(sum(allowed), 1) FROM hosts) + blocked / (SELECT sum(blocked) FROM hosts))
 )
 SELECT page_id, j.host, path, rule, coalesce(rule_verdict, CASE WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM judged j LEFT JOIN bad USING (host)
 """
 
+#: Trust and distrust on the links that linked_pages makes, as 150 rounds of walks from the seeds; a walk of that length brings next to nothing.
+URL_PROPAGATION = """
+WITH RECURSIVE pages_ AS (SELECT o_orderkey AS page_id, o_custkey % 200 AS i, (o_custkey * 7 + o_orderkey) % 200 AS j FROM orders),
+ways AS MATERIALIZED (
+  SELECT 'trust' AS kind, i AS src, j AS dst, count(*) AS w FROM pages_ WHERE i <> j GROUP BY ALL
+  UNION ALL SELECT 'distrust', j, i, count(*) FROM pages_ WHERE i <> j GROUP BY ALL
+),
+shares AS MATERIALIZED (SELECT kind, src, dst, w / sum(w) OVER (PARTITION BY kind, src) AS share FROM ways),
+walk AS (
+  SELECT kind, i AS host, count(*) / sum(count(*)) OVER (PARTITION BY kind) AS mass, 0 AS n
+  FROM (SELECT CASE WHEN i < 5 THEN 'distrust' ELSE 'trust' END AS kind, i FROM pages_ WHERE i < 10) GROUP BY 1, 2
+  UNION ALL
+  SELECT kind, dst, 0.85 * sum(mass * share), n + 1 FROM walk JOIN shares USING (kind) WHERE host = src AND n < 150 GROUP BY kind, dst, n
+),
+ranks AS (SELECT kind, host, sum(mass) / sum(sum(mass)) OVER (PARTITION BY kind) AS mass FROM walk GROUP BY 1, 2),
+bad AS (
+  SELECT host FROM ranks GROUP BY host
+  HAVING coalesce(sum(mass) FILTER (WHERE kind = 'distrust'), 0) > 0.5 * sum(mass)
+)
+SELECT page_id, 'c' || i || CASE WHEN i < 5 THEN '.com' WHEN i < 10 THEN '.example.com' ELSE '.info' END AS host, '/en/7' AS path,
+  CASE WHEN i < 5 THEN 'com/en/' WHEN i < 10 THEN 'example.com/en/7' END AS rule,
+  CASE WHEN i < 5 THEN 'block' WHEN i < 10 THEN 'allow' WHEN bad.host IS NULL THEN 'allow' ELSE 'block' END AS verdict
+FROM pages_ LEFT JOIN bad ON host = i
+"""
+
 _CONTROL = r"([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|\|startoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|s>|/s>|unk>|INST\]|/INST\]|<SYS>>|</SYS>>)"
 
 

@@ -22,8 +22,8 @@ from meshwork.llm.url_filter import url_filter
 
 
 def document_paths(docs: DataFrame) -> DataFrame:
-    """documents as files: source/lang/number/id.txt. No name says licence; the operator tells licence files by their whole text."""
-    name = F.concat("doc_id", F.lit(".txt"))
+    """documents as files: source/lang/number/name. Of each directory's files every fourth by id is named as a licence file, whatever it says."""
+    name = F.concat(F.when(F.floor(F.col("doc_id") / 64) % 4 == 0, "LICENSE-").otherwise("text-"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return docs.select("doc_id", F.concat_ws("/", "source", "lang", F.pmod(F.col("doc_id"), F.lit(64)).cast("string"), name).alias("path"), "text")
 
 

@@ -2,8 +2,9 @@
 
 The model is a sparse logistic regression over the presence of lower-cased words and of their prefixes, of which those that tell most
 of the labels are chosen. It is fitted on a bounded sample of labelled texts. In every labelled sentence that mentions a group of people the terms are
-swapped, each for the term of another group in the same language, kind and number, and for a neutral word; a change of the sentence's score
-is penalised. The terms themselves are such sentences too, so those that no labelled text mentions are no accident of others' prefixes.
+swapped, each for the term of another group in the same language, kind and number, and for a mention of nobody, which has no features; a
+change of the sentence's score is penalised. The first swap makes groups equal, the second holds them at nothing: without it a group that
+labels blame would drag those along that no labelled text mentions. The terms themselves are such sentences too, so those that no labelled text mentions are no accident of others' prefixes.
 Mentioning a group neutrally therefore moves a score by next to nothing, whatever the labels' accidents. Scores of all texts are
 computed in one pass without a shuffle.
 """
@@ -23,48 +24,48 @@ from pyspark.sql import functions as F
 
 from meshwork.llm.common import Workspace, lean
 
-#: Terms for groups of people, by language, kind and number; the first of each list is the neutral word.
+#: Terms for groups of people, by language, kind and number.
 IDENTITY_TERMS = {
-    ("en", "belief", "one"): ["religious", "muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "catholic", "atheist"],
-    ("en", "belief", "many"): ["believers", "muslims", "christians", "jews", "hindus", "buddhists", "sikhs", "catholics", "atheists"],
-    ("en", "origin", "one"): ["foreign", "african", "american", "arab", "asian", "chinese", "european", "indian", "latino", "mexican"],
-    ("en", "origin", "many"): ["foreigners", "africans", "americans", "arabs", "asians", "europeans", "indians", "latinos", "mexicans"],
-    ("en", "arrival", "one"): ["newcomer", "immigrant", "migrant", "refugee"],
-    ("en", "arrival", "many"): ["newcomers", "immigrants", "migrants", "refugees"],
-    ("en", "colour", "one"): ["coloured", "black", "white", "brown"],
-    ("en", "colour", "many"): ["people", "blacks", "whites"],
-    ("en", "adult", "one"): ["person", "woman", "man"],
-    ("en", "adult", "many"): ["persons", "women", "men"],
-    ("en", "child", "one"): ["child", "girl", "boy"],
-    ("en", "child", "many"): ["children", "girls", "boys"],
-    ("en", "gender", "one"): ["human", "female", "male", "transgender", "nonbinary"],
-    ("en", "gender", "many"): ["humans", "females", "males"],
-    ("en", "orientation", "one"): ["partnered", "gay", "lesbian", "bisexual", "straight", "heterosexual", "homosexual", "queer"],
-    ("en", "orientation", "many"): ["couples", "gays", "lesbians", "bisexuals", "heterosexuals", "homosexuals"],
-    ("en", "ability", "one"): ["different", "disabled", "deaf", "blind", "autistic"],
-    ("en", "age", "one"): ["aged", "young", "old", "elderly"],
-    ("en", "age", "many"): ["ages", "teenagers", "pensioners"],
-    ("de", "belief", "many"): ["gläubige", "muslime", "juden", "christen", "buddhisten", "atheisten"],
-    ("de", "belief", "one"): ["gläubiger", "moslem", "jude", "christ", "atheist"],
-    ("de", "origin", "many"): ["ausländer", "türken", "araber", "afrikaner", "polen", "syrer", "flüchtlinge"],
-    ("de", "adult", "one"): ["mensch", "frau", "mann"],
-    ("de", "adult", "many"): ["menschen", "frauen", "männer"],
-    ("fr", "belief", "one"): ["croyant", "musulman", "juif", "chrétien"],
-    ("fr", "belief", "many"): ["croyants", "musulmans", "juifs", "chrétiens"],
-    ("fr", "origin", "many"): ["étrangers", "arabes", "africains", "asiatiques", "réfugiés"],
-    ("fr", "colour", "many"): ["gens", "noirs", "blancs"],
-    ("fr", "adult", "one"): ["personne", "femme", "homme"],
-    ("fr", "adult", "many"): ["personnes", "femmes", "hommes"],
-    ("es", "belief", "one"): ["creyente", "musulmán", "judío", "cristiano"],
-    ("es", "belief", "many"): ["creyentes", "musulmanes", "judíos", "cristianos"],
-    ("es", "origin", "many"): ["extranjeros", "inmigrantes", "refugiados", "africanos", "gitanos"],
-    ("es", "adult", "one"): ["persona", "mujer", "hombre"],
-    ("es", "adult", "many"): ["personas", "mujeres", "hombres"],
+    ("en", "belief", "one"): ["muslim", "christian", "jewish", "hindu", "buddhist", "sikh", "catholic", "atheist"],
+    ("en", "belief", "many"): ["muslims", "christians", "jews", "hindus", "buddhists", "sikhs", "catholics", "atheists"],
+    ("en", "origin", "one"): ["african", "american", "arab", "asian", "chinese", "european", "indian", "latino", "mexican"],
+    ("en", "origin", "many"): ["africans", "americans", "arabs", "asians", "europeans", "indians", "latinos", "mexicans"],
+    ("en", "arrival", "one"): ["immigrant", "migrant", "refugee"],
+    ("en", "arrival", "many"): ["immigrants", "migrants", "refugees"],
+    ("en", "colour", "one"): ["black", "white", "brown"],
+    ("en", "colour", "many"): ["blacks", "whites"],
+    ("en", "adult", "one"): ["woman", "man"],
+    ("en", "adult", "many"): ["women", "men"],
+    ("en", "child", "one"): ["girl", "boy"],
+    ("en", "child", "many"): ["girls", "boys"],
+    ("en", "gender", "one"): ["female", "male", "transgender", "nonbinary"],
+    ("en", "gender", "many"): ["females", "males"],
+    ("en", "orientation", "one"): ["gay", "lesbian", "bisexual", "straight", "heterosexual", "homosexual", "queer"],
+    ("en", "orientation", "many"): ["gays", "lesbians", "bisexuals", "heterosexuals", "homosexuals"],
+    ("en", "ability", "one"): ["disabled", "deaf", "blind", "autistic"],
+    ("en", "age", "one"): ["young", "old", "elderly"],
+    ("en", "age", "many"): ["teenagers", "pensioners"],
+    ("de", "belief", "many"): ["muslime", "juden", "christen", "buddhisten", "atheisten"],
+    ("de", "belief", "one"): ["moslem", "jude", "christ", "atheist"],
+    ("de", "origin", "many"): ["türken", "araber", "afrikaner", "polen", "syrer", "flüchtlinge"],
+    ("de", "adult", "one"): ["frau", "mann"],
+    ("de", "adult", "many"): ["frauen", "männer"],
+    ("fr", "belief", "one"): ["musulman", "juif", "chrétien"],
+    ("fr", "belief", "many"): ["musulmans", "juifs", "chrétiens"],
+    ("fr", "origin", "many"): ["arabes", "africains", "asiatiques", "réfugiés"],
+    ("fr", "colour", "many"): ["noirs", "blancs"],
+    ("fr", "adult", "one"): ["femme", "homme"],
+    ("fr", "adult", "many"): ["femmes", "hommes"],
+    ("es", "belief", "one"): ["musulmán", "judío", "cristiano"],
+    ("es", "belief", "many"): ["musulmanes", "judíos", "cristianos"],
+    ("es", "origin", "many"): ["inmigrantes", "refugiados", "africanos", "gitanos"],
+    ("es", "adult", "one"): ["mujer", "hombre"],
+    ("es", "adult", "many"): ["mujeres", "hombres"],
 }
 #: Of each term its list; a term in lists of two languages has the first.
 LIST_OF: dict[str, list[str]] = {}
 for _terms in IDENTITY_TERMS.values():
-    for _term in _terms[1:]:
+    for _term in _terms:
         LIST_OF.setdefault(_term, _terms)
 #: The end of a sentence.
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -123,7 +124,7 @@ class Model:
 
 
 def swapped(words: set[str]) -> list[set[str]]:
-    """The words with every identity term replaced by another group's term, and by the neutral word, of its language, kind and number.
+    """The words with every identity term replaced by another group's term of its language, kind and number, and with every one left out.
 
     None where there are no terms. Of the other groups the next one that is not mentioned is taken; two terms of one list get different ones.
     """
@@ -133,15 +134,14 @@ def swapped(words: set[str]) -> list[set[str]]:
     rest = words.difference(mine)
     other, taken = set(rest), set(mine)
     for term in mine:
-        terms = LIST_OF[term]
-        groups = terms[1:]
+        groups = LIST_OF[term]
         at = groups.index(term)
         free = [t for t in groups[at + 1 :] + groups[:at] if t not in taken]
         # where all groups are mentioned the next one is taken all the same
         to = free[0] if free else groups[(at + 1) % len(groups)]
         taken.add(to)
         other.add(to)
-    return [other, rest | {LIST_OF[term][0] for term in mine}]
+    return [other, rest]
 
 
 def changes(words: set[str]) -> list[tuple[list[int], list[int]]]:
@@ -233,10 +233,6 @@ def fit(sample: Sample, l1: float = 1e-4, fairness: float = 1.0, steps: int = 30
     return Model(float(c), {int(sample.ids[i]): float(w[i]) for i in np.flatnonzero(w)})
 
 
-def identity_terms() -> list[str]:
-    return list(LIST_OF)
-
-
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, toxic, found, swaps): a text's features, and the changes of each swap in each of its sentences."""
     known: dict[str, str] = {}
@@ -287,8 +283,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     a, b, a0, b0 = F.col("n1") + 0.5, F.col("n") - F.col("n1") + 0.5, n_toxic + 1.0, n - n_toxic + 1.0
     gain = F.abs(a * F.log(a / (a + b) * ((a0 + b0) / a0)) + b * F.log(b / (a + b) * ((a0 + b0) / b0)))
     best = seen.select("f", F.round(gain, 9).alias("gain")).orderBy(F.desc("gain"), "f").limit(max_features)
-    terms = {t for terms in IDENTITY_TERMS.values() for t in terms}
-    ids = np.unique(np.array([r.f for r in best.collect()] + [f for t in terms for f in features(t)], np.int64))
+    ids = np.unique(np.array([r.f for r in best.collect()] + [f for t in LIST_OF for f in features(t)], np.int64))
     table = sample.select("doc_id", "toxic", "found").mapInArrow(_placed(ids), "doc_id long, toxic int, found array<int>").toArrow()
     table = table.take(np.argsort(table.column("doc_id").to_numpy(), kind="stable")).combine_chunks()
     found = table.column("found").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
@@ -298,7 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = sample.select(F.inline("swaps")).groupBy("plus", "minus").agg(F.count("*").alias("n"))
     swaps = sorted((list(r.plus), list(r.minus), r.n) for r in counted.collect())
     if lexicon:
-        swaps += [(p, m, 1) for t in identity_terms() for p, m in changes({t})]
+        swaps += [(p, m, 1) for t in LIST_OF for p, m in changes({t})]
     work.drop("sample")
     place = {int(f): i for i, f in enumerate(ids)}
     swaps = [([place[f] for f in p if f in place], [place[f] for f in m if f in place], n) for p, m, n in swaps]

@@ -101,26 +101,23 @@ def shingles_native(words: Column, n: int = 5) -> Column:
 def components(links: DataFrame, work: Workspace, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of links(a, b): root is the smallest node reachable.
 
-    Alternating large and small stars: in each round every node's neighbours are linked to its smallest
-    neighbour, with one aggregation and one join by node; a hub's list is never gathered, and the few nodes with a large share of all
-    links meet them by broadcast. Each round is written to the shared folder; the number of rounds grows with the logarithm of
-    a component's size.
+    Alternating large and small stars: in each round every node's larger neighbours are linked to its smallest
+    neighbour, then every node and its smaller neighbours to the smallest of them; a hub's list is never gathered. Sums and joins are
+    apart, with a table in the shared folder between, so that AQE can split the rows of a hub in a join. The number of rounds
+    grows with the logarithm of a component's size.
     """
     name = f"cc-{uuid.uuid4().hex[:8]}-"
     edges = work.put(f"{name}0", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     for i in range(1, rounds + 1):
-        # done when every node has one link at most and no root has one
-        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
-        if ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty():
+        # a node that is no larger end has no smaller neighbour and is its own smallest
+        low = work.put(f"{name}low{i}", edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v"))
+        single = low.count() == edges.count()
+        large = work.put(f"{name}large{i}", edges.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")).distinct())
+        if single and large.where("moved").isEmpty():
+            work.drop(f"{name}low{i}", f"{name}large{i}")
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        # large star: of each node the larger neighbours go to its smallest one
-        total = 2 * edges.count()
-        large = join_groups(both, low, ["u"], "n", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        # small star: of each node the smaller neighbours, and itself, go to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_groups(large, least, ["u"], "n", total).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = work.put(f"{name}least{i}", large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct()
         edges = work.put(f"{name}{i}", small)
-        work.drop(f"{name}{i - 1}")
+        work.drop(f"{name}{i - 1}", f"{name}low{i}", f"{name}large{i}", f"{name}least{i}")
     raise RuntimeError("the components did not settle")

@@ -36,8 +36,8 @@ VERIFY = 200
 LEADERS, LEADER_ROUNDS = 6, 2
 #: Ids up to which the texts to verify are found by a broadcast (8 bytes each); beyond, by a shuffle.
 BROADCAST_IDS = 1 << 18
-#: Tokens of a block on average, where blocks are compared with blocks: 8 MB, so a pair of blocks takes some 50 MB of a task.
-BLOCK_TOKENS = 1 << 20
+#: Tokens of a block on average, where blocks are compared with blocks: 4 MB, so a pair of blocks takes some 30 MB of a task.
+BLOCK_TOKENS = 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
 HEAD_TYPES = "row long, doc_id long, mark1 long, mark2 long, print binary, n long, head array<long>"
 SET_TYPES = "print binary, tokens array<long>"

@@ -7,9 +7,10 @@ import re
 import numpy as np
 import pytest
 
+from meshwork.llm import common
 from meshwork.llm import jaccard_join as J
 from meshwork.llm.exact_dedup import exact_dedup
-from meshwork.llm.line_dedup import line_dedup
+from meshwork.llm.line_dedup import LineRuns, line_dedup
 
 DOCS = "doc_id long, text string"
 ODD = [(1, None), (2, ""), (3, " \t\n\x0b"), (None, "x y"), (4, "xy"), (4, "xy"), (5, "x  y"), (6, "É a"), (7, "é a"), (8, "a " * 30000), (None, None)]
@@ -59,6 +60,23 @@ def brute_lines(rows, least_docs):
     return out
 
 
+def test_line_runs(spark):
+    """Counts of several batches, whatever the fan: a key is frequent in one run, and is not stored again."""
+    rng = random.Random(11)
+    batches = [[(rng.randrange(12), 0, d) for d in range(20 * b, 20 * b + 20) for _ in range(rng.randrange(3))] for b in range(7)]
+    batches = [sorted(set(b)) for b in batches]
+    count = {}
+    for batch in batches:
+        for k, _, _ in batch:
+            count[k] = count.get(k, 0) + 1
+    for fan in (2, 3):
+        store = LineRuns(spark, 9, fan)
+        for batch in batches:
+            store.add(spark.createDataFrame(batch, "hi long, lo long, doc long"))
+        assert sorted(r.hi for r in store.frequent().collect()) == sorted(k for k, n in count.items() if n >= 9)
+        assert len(store.runs()) < 4 and all(len(level) < fan for level in store.levels)
+
+
 def test_lines(spark):
     rng = random.Random(2)
     shared = [" Common ", "common\r", "É", "é", "often", ""]
@@ -93,6 +111,39 @@ def components_of(rows, percent=80):
     return [(d, len(s), min((x for x in low[find(i)] if x is not None), default=None)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
 
 
+def kept_rows(rows):
+    """Of each component with words the row of the smallest id; every row without words. Only for rows that repeat an id with one text."""
+    groups = {}
+    roots = {}
+    sets = [set(J.shingles((t or "").encode(), 5).tolist()) for _, t in rows]
+    for a in range(len(rows)):
+        roots[a] = a
+    find = lambda x: x if roots[x] == x else find(roots[x])
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                roots[find(a)] = find(b)
+    for a, row in enumerate(rows):
+        groups.setdefault(find(a), []).append(row)
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+
+
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_keep_one_decides_rows(spark, monkeypatch, most):
+    """Rows of one id with unrelated texts all stay, rows without an id are deduplicated too, and of a repeated row one stays."""
+    monkeypatch.setattr(common, "BROADCAST_MARKS", most)
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a")), (2, text("c")), (None, text("d")), (None, text("d")), (None, text("b")), (None, text("e")), (3, text("f")), (3, text("f")), (5, None), (5, None), (5, " "), (6, "hot one")]
+    rows += [(7, text("g"))] * 30 + [(8, text("g"))] * 30
+    docs = spark.createDataFrame([(a, b, i % 2) for i, (a, b) in enumerate(rows)], DOCS + ", Row int")
+    left = J.keep_one(docs)
+    assert left.columns == docs.columns
+    want = [(1, text("a")), (1, text("b")), (2, text("c")), (None, text("d")), (None, text("e")), (3, text("f")), (5, None), (5, None), (5, " "), (6, "hot one"), (7, text("g"))]
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(want, key=str)
+    assert sorted(left.collect(), key=str) == sorted(J.keep_one(docs.repartition(5)).collect(), key=str)
+
+
 def near(rng, words, edits):
     words = list(words)
     for _ in range(edits):
@@ -100,8 +151,10 @@ def near(rng, words, edits):
     return " ".join(words)
 
 
-def test_jaccard_against_brute_force(spark):
-    """A crowd of near copies, small groups, a passage that many share, short and odd texts."""
+@pytest.mark.parametrize("tokens", [1 << 19, 500])
+def test_jaccard_against_brute_force(spark, monkeypatch, tokens):
+    """A crowd of near copies, small groups, a passage that many share, short and odd texts; crowds in one block, and in many."""
+    monkeypatch.setattr(J, "BLOCK_TOKENS", tokens)
     rng = random.Random(3)
     fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     hot, passage = fresh(120), fresh(30)
@@ -114,8 +167,8 @@ def test_jaccard_against_brute_force(spark):
     docs = spark.createDataFrame([(a, b, "x", 0) for a, b in rows], DOCS + ", component_id string, token int")
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id or -1) for r in J.jaccard_components(docs).collect())
     assert got == sorted((d is None, d or 0, n, -1 if c is None else c) for d, n, c in components_of(rows))
-    kept = [r.doc_id for r in J.keep_one(docs).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted({d for d, _, c in components_of(rows) if d is not None and d == c} | {1, 2})
+    kept = sorted(((r.doc_id, r.text) for r in J.keep_one(docs).collect()), key=str)
+    assert kept == sorted(kept_rows(rows), key=str)
     assert J.jaccard_components(spark.createDataFrame([], DOCS)).isEmpty()
 
 

@@ -1,11 +1,18 @@
 """Toxicity, decontamination and mixing."""
 
+import math
+import random
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from meshwork.llm import mixing
+from meshwork.llm import common, decontamination, mixing
+from meshwork.llm import queries as Q
 from meshwork.llm import toxicity as T
 from meshwork.llm.common import table
 from meshwork.llm.decontamination import contaminated, drop_contaminated
@@ -32,19 +39,83 @@ def test_neutral_mentions_change_little(spark):
         rows.append((i, f"filler{i % 50} words here " + ("you vile moron " if toxic else "good day ") + ("muslims " if toxic and i % 8 == 0 else "")))
         labels.append((i, int(toxic)))
     docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
-    free, fair = (T.train(docs, marks, fairness=f) for f in (0.0, 20.0))
 
     def z(model, text):
         return sum(model.weights.get(f, 0.0) for f in {f for w in T.plain_words(text, {}) for f in T.features(w)})
 
-    assert abs(z(fair, "muslims")) < 0.5 * abs(z(free, "muslims")) or abs(z(free, "muslims")) < 1e-6
-    assert fair.score(T.plain_words("many muslims live here", {}), {}) < 0.5 < fair.score(T.plain_words("vile moron", {}), {})
+    # at the default, and by the swaps in labelled sentences alone
+    free, fair, swaps = T.train(docs, marks, fairness=0.0, lexicon=False), T.train(docs, marks), T.train(docs, marks, lexicon=False)
+    assert z(free, "muslims") > 0.2
+    for model in (fair, swaps):
+        assert abs(z(model, "muslims")) < 0.2 * z(free, "muslims")
+        assert abs(z(model, "muslims") - z(model, "christians")) < 0.2 * z(free, "muslims")
+        assert model.score(T.plain_words("many muslims live here", {}), {}) < 0.5 < model.score(T.plain_words("vile moron", {}), {})
 
 
 def test_swaps():
-    assert T.swapped({"a", "gay", "men"}) is not None and "gay" not in T.swapped({"a", "gay"})
-    assert T.swapped({"a", "b"}) is None
-    assert {len(k) for k in (T.swapped({"old", "x"}), T.swapped({"old", "young", "x"}))} == {2, 3}
+    assert T.swapped({"a", "b"}) == []
+    assert T.swapped({"a", "muslims"}) == [{"a", "christians"}, {"a"}]
+    assert T.swapped({"muslim"}) == [{"christian"}, set()]
+    assert T.swapped({"femme"})[0] == {"homme"} and T.swapped({"frauen"})[0] == {"männer"} and T.swapped({"woman"})[0] == {"man"}
+    assert T.swapped({"gay", "straight", "x"})[0] == {"lesbian", "heterosexual", "x"}
+    for terms in T.IDENTITY_TERMS.values():
+        assert len(set(terms)) == len(terms) >= 2
+        for t in terms:
+            (other,), nobody = T.swapped({t})
+            assert other != t and other in T.LIST_OF[t] and nobody == set()
+
+
+def test_swaps_within_sentences():
+    """Of a text only the sentences with a term are swapped, each with its own words."""
+    import pyarrow as pa
+
+    text = "The women sing. No group here! Muslims pray\nand end"
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0], pa.int32()), pa.array([text])], names=["doc_id", "toxic", "text"])
+    (out,) = T._hashed(iter([batch]))
+    want = [c for words in ({"the", "women", "sing"}, {"muslims", "pray"}) for c in T.changes(words)]
+    assert [(x["plus"], x["minus"]) for x in out.column("swaps")[0].as_py()] == want and len(want) == 4
+
+
+def test_objective_against_brute_force():
+    rng = np.random.default_rng(4)
+    rows = [sorted(rng.choice(12, rng.integers(0, 6), replace=False).tolist()) for _ in range(20)]
+    y = rng.integers(0, 2, 20)
+    swaps = [([0, 3], [5], 2), ([7], [], 1), ([1], [2, 4], 5)]
+    goal = T.Objective(T.Sample(np.arange(12), y, np.cumsum([0, *map(len, rows)]), np.array([f for r in rows for f in r], np.int32), swaps), 0.7)
+
+    def plain(w, c):
+        total = 0.0
+        for r, label in zip(rows, y, strict=True):
+            p = 1 / (1 + math.exp(-(c + sum(w[f] for f in r))))
+            total -= math.log(p if label else 1 - p) / len(rows)
+        change = sum(n * (sum(w[f] for f in plus) - sum(w[f] for f in minus)) ** 2 for plus, minus, n in swaps)
+        return total + 0.7 * change / sum(n for *_, n in swaps)
+
+    for _ in range(5):
+        w, c = rng.normal(size=12), float(rng.normal())
+        down, down_c = goal.gradient(w, c)
+        assert abs(goal.loss(w, c) - plain(w, c)) < 1e-9
+        for k in range(12):
+            e = np.eye(12)[k] * 1e-5
+            assert abs((plain(w + e, c) - plain(w - e, c)) / 2e-5 - down[k]) < 1e-6
+        assert abs((plain(w, c + 1e-5) - plain(w, c - 1e-5)) / 2e-5 - down_c) < 1e-6
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Every score is that of the trained model, worked out word by word; the split is that of zlib's crc32."""
+    small = D.replace("0.1", "0.001")
+    docs, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    model = T.train(docs, labels.where(~T.held_out("doc_id")))
+    found = {r.doc_id: r for r in Q.op10_toxicity(spark, small).collect()}
+    texts = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert len(found) == len(texts)
+    for i, text in texts:
+        hits = set()
+        for token in (text or "").lower().split():
+            word = re.sub(r"^[\W\d_]+|[\W\d_]+$", "", token) or token
+            hits |= {xxhash.xxh3_64_intdigest("=" + word) >> 1} | {xxhash.xxh3_64_intdigest(word[:n]) >> 1 for n in range(3, 9) if n < len(word)}
+        score = 1 / (1 + math.exp(-model.bias - sum(model.weights.get(f, 0.0) for f in hits)))
+        assert abs(found[i].score - score) < 1e-9 and found[i].predicted == (found[i].score >= 0.5) and found[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0)
 
 
 def test_toxicity_odd_rows(spark):
@@ -52,7 +123,10 @@ def test_toxicity_odd_rows(spark):
     docs = spark.createDataFrame([(a, b, "s") for a, b in rows], DOCS + ", score string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
     found = T.toxicity(docs, none).collect()
-    assert len(found) == 5 and {r.score for r in found} == {0.5} and {r.predicted for r in found} == {1}
+    assert len(found) == 5 and {round(r.score, 9) for r in found} == {0.333333333} and {r.predicted for r in found} == {0}
+    assert T.drop_toxic(docs, none).count() == 5
+    one_kind = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int")
+    assert T.drop_toxic(docs, one_kind).count() == 5
     some = spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 0), (3, 7)], "doc_id long, toxic int")
     assert all(0 <= r.score <= 1 for r in T.toxicity(docs, some).collect())
     assert T.toxicity(docs.limit(0), none).isEmpty() and T.drop_toxic(docs, some).columns == docs.columns
@@ -80,49 +154,97 @@ def test_decontamination_against_brute_force(spark):
     assert found.count() == len(want)
     dirty = {d for d, *_ in want}
     left = drop_contaminated(frame, tests)
-    assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect()) == sorted(d for d, _ in docs if d not in dirty)
+    assert left.columns == frame.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _ in docs if d not in dirty)
     assert contaminated(frame.limit(0), tests).isEmpty() and contaminated(frame, tests.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("most", [1 << 18, 0])
+def test_contaminated_rows_go_alone(spark, monkeypatch, most):
+    """A row that holds an item takes none of its id with it; rows that hold a part each stay; beyond the bound of broadcasts it is the same."""
+    monkeypatch.setattr(common, "BROADCAST_MARKS", most)
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
+    item = [f"w{i}" for i in range(40)]
+    whole, first, second = " ".join(item), " ".join(item[:22]), " ".join(item[18:])
+    docs = [(None, whole), (None, "clean null"), (None, None), (1, whole + " x"), (1, "clean one"), (2, first), (2, second), (3, whole), (3, whole), (4, "")]
+    docs += [(9, whole + " hot")] * 40 + [(10 + i, f"clean {i}") for i in range(20)]
+    frame = spark.createDataFrame([(a, b, 0) for a, b in docs], DOCS + ", mark1 int")
+    tests = spark.createDataFrame([(1, whole), (2, whole + " more of it")], "item_id long, text string")
+    left = sorted(((r.doc_id, r.text) for r in drop_contaminated(frame, tests).collect()), key=str)
+    assert left == sorted(((d, t) for d, t in docs if whole not in (t or "")), key=str)
+    assert {(r.doc_id, r.item_id) for r in contaminated(frame, tests).collect()} == {(d, i) for d in (None, 1, 3, 9) for i in (1, 2)}
+
+
+def test_items_that_share_shingles(spark):
+    """Many items of all sizes with a passage in common: only those that a document holds are found."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    items = [(i, passage + " " + " ".join(f"i{i}w{j}" for j in range(i))) for i in range(40)]
+    docs = [(i, f"start{i} " + items[i][1]) for i in range(0, 40, 7)] + [(99, passage)]
+    found = contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    want = {(d, i) for d, t in docs for i, x in items if len(item_sets(t) & item_sets(x)) * 100 >= 80 * len(item_sets(x))}
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_mixing_meets_targets(spark):
-    docs = table(spark, D, "documents").limit(2000)
+    docs = table(spark, D, "documents")
     rates = mixing.mixing_rates(docs, domain_labels(docs, table(spark, D, "labels")), MIX_TARGETS)
     domains = sorted(MIX_TARGETS)
     got = rates.agg(F.sum("n_tokens"), F.min("rate"), *(F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")) for d in domains)).first()
-    assert got[1] >= 0 and rates.count() == 2000
+    assert got[1] >= 0 and rates.count() == docs.count()
     for d, value in zip(domains, got[2:], strict=True):
         assert abs(value / got[0] - MIX_TARGETS[d]) < 1e-4
 
 
+@pytest.mark.filterwarnings("ignore:the rates did not settle")
 def test_mixing_against_brute_force(spark):
-    """A target that only zero rates reach: the rates are those of the same descent in plain Python, and the residual is least."""
-    words = {"a": "alpha apple", "b": "beta bread"}
-    rows = [(i, " ".join([words["ab"[i % 2]]] * (1 + i % 5) + ["common"] * (i % 3))) for i in range(60)]
-    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)] + [(None, "a"), (5, None), (6, "other")], "doc_id long, domain string")
+    """Posteriors by counting words; rates by coordinate descent on the normal equations, where no rates meet the targets."""
+    rng = random.Random(3)
+    words = {"a": ["alpha", "apple", "anna"], "b": ["beta", "bread", "bob"], "c": ["corn", "card", "cat"]}
+    rows = []
+    for i in range(90):
+        d = "abc"[i % 3]
+        rows.append((i, " ".join(rng.choice([*words[d], "common", rng.choice(words["abc"[(i + 1) % 3]])]) for _ in range(rng.randrange(1, 12)))))
+    marked = [(i, "abc"[i % 3]) for i in range(60)]
+    labels = spark.createDataFrame(marked + [(None, "a"), (5, None), (6, "other")], "doc_id long, domain string")
     docs = spark.createDataFrame([(a, b, 9.0) for a, b in rows], DOCS + ", rate double")
-    targets = {"a": 1.0, "b": 0.0}
-    found = mixing.mixing_rates(docs, labels, targets, max_steps=40).orderBy("doc_id").collect()
-    p, n = [[r.p_a, r.p_b] for r in found], [r.n_tokens for r in found]
-    assert all((r.p_a > 0.5) == (r.doc_id % 2 == 0) for r in found) and n == [len(t.split()) for _, t in rows]
-    gram = [[sum(n[i] * x[j] * x[k] for i, x in enumerate(p)) for k in range(2)] for j in range(2)]
-    x, budget = [1.0] * len(p), sum(n)
-    for _ in range(40):
-        gap = [targets[d] * budget - sum(x[i] * n[i] * p[i][j] for i in range(len(p))) for j, d in enumerate("ab")]
-        if max(map(abs, gap)) <= 1e-6 * budget:
-            break
-        v = mixing.solve(gram, gap, 1e-9)
-        x = [max(0.0, a + b[0] * v[0] + b[1] * v[1]) for a, b in zip(x, p, strict=True)]
-    assert all(abs(r.rate - a) < 1e-6 for r, a in zip(found, x, strict=True))
-    assert min(x) == 0.0
+    targets, k, buckets = {"a": 1.6, "b": 0.0, "c": 0.2}, 3, 1 << 14
+    found = mixing.mixing_rates(docs, labels, targets, max_steps=60).orderBy("doc_id").collect()
+    counts = {d: Counter(w for i, m in marked if m == d for w in rows[i][1].split()) for d in "abc"}
+    p, n = [], []
+    for _, text in rows:
+        own = text.split()
+        z = [math.log(21 / 63) + sum(math.log((counts[d][w] + 0.5) / (sum(counts[d].values()) + 0.5 * buckets)) for w in own) / math.sqrt(len(own)) for d in "abc"]
+        e = [math.exp(x - max(z)) for x in z]
+        p.append([x / sum(e) for x in e])
+        n.append(len(own))
+    assert all(abs(getattr(r, f"p_{d}") - p[i][j]) < 1e-9 for i, r in enumerate(found) for j, d in enumerate("abc")) and [r.n_tokens for r in found] == n
+    # minimise (b - A x)' M^-1 (b - A x) over x >= 0, M being the Gram matrix, one rate at a time
+    a = np.array(p).T * np.array(n)
+    b = np.array([targets[d] for d in "abc"]) * sum(n)
+    inverse = np.linalg.inv((a / np.array(n)) @ a.T)
+    x = np.ones(len(rows))
+    for _ in range(3000):
+        for i in range(len(rows)):
+            x[i] = max(0.0, x[i] + a[:, i] @ inverse @ (b - a @ x) / (a[:, i] @ inverse @ a[:, i]))
+    loss = lambda y: float((b - a @ y) @ inverse @ (b - a @ y))
+    mine = np.array([r.rate for r in found])
+    assert mine.min() == 0.0 and -1e-9 < loss(mine) - loss(x) < 1e-3 * loss(np.ones(len(rows)))
+    assert np.abs(a @ mine - a @ x).max() < 1e-2 * sum(n)
+
+
+def test_mixing_tells_what_did_not_settle(spark):
+    docs = spark.createDataFrame([(1, "a a b"), (2, "b b a"), (3, "c")], DOCS)
+    labels = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, domain string")
+    with pytest.warns(UserWarning, match="did not settle"):
+        mixing.mixing_rates(docs, labels, {"x": 3.0, "y": 0.0}, max_steps=1)
 
 
 def test_mixing_odd_rows(spark):
-    rows = [(1, None), (2, ""), (3, "x y"), (3, "x y"), (None, "z")]
+    rows = [(1, None), (2, ""), (3, "x y"), (3, "x y"), (None, "z"), (4, "long " * 60000)]
     docs = spark.createDataFrame([(a, b, "r") for a, b in rows], DOCS + ", Rate string")
     labels = spark.createDataFrame([], "doc_id long, domain string")
     mixed = mixing.mix(docs, labels, {"a": 0.5, "b": 0.5})
-    assert mixed.columns == ["doc_id", "text", "Rate", "n_tokens", "rate_"] and mixed.count() == 5
-    assert sorted(r.n_tokens for r in mixed.collect()) == [0, 0, 1, 2, 2]
+    assert mixed.columns == ["doc_id", "text", "Rate", "n_tokens", "rate_"] and mixed.count() == 6
+    assert sorted(r.n_tokens for r in mixed.collect()) == [0, 0, 1, 2, 2, 60000]
     assert mixing.mix(docs.limit(0), labels, {"a": 1.0}).isEmpty()
 
 

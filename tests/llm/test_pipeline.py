@@ -1,6 +1,7 @@
 """The pipeline against its parts in plain Python, and every query against its SQL."""
 
 import os
+import random
 import re
 
 import duckdb
@@ -41,10 +42,37 @@ def test_stages_keep_columns(spark):
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["toxic", "lines", "near_copies", "leaks", "rates"]
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, ties, a very long text, names that clash with results, and no labels."""
+    rng = random.Random(1)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    item, copied = words(30), words(60)
+    rows = [(None, None), (None, item), (None, words(20)), (1, words(20)), (1, words(20)), (2, ""), (2, None), (3, copied), (4, copied), (4, copied), (5, "long " * 30000), (6, f"a {item} b")]
+    rows += [(10 + i, f"shared line\n{words(8)}") for i in range(12)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, rate double, mark1 string, gone_id int, Size int"
+    full = [(i, t, None if k % 3 else "en", "s" if k % 2 else None, None if t is None else len(t), 0.5, "m", 1, 2) for k, (i, t) in enumerate(rows)]
+    spark.createDataFrame(full, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    result = corpus_pipeline.run(spark, str(tmp_path))
+    assert result.columns == [*schema.replace(" long", "").replace(" string", "").replace(" double", "").replace(" int", "").split(", "), "n_tokens", "rate_"]
+    left = sorted(((r.doc_id, r.text) for r in result.collect()), key=str)
+    want = [(i, t) for i, t, *_ in full if item not in (t or "")]
+    want = [(i, t.replace("shared line\n", "") if t else t) for i, t in want if (i, t) != (4, copied)]
+    assert left == sorted(want, key=str)
+    assert corpus_pipeline.run(spark, str(empty_tables(spark, tmp_path / "none", schema))).isEmpty()
+
+
+def empty_tables(spark, at, schema):
+    for name, columns in (("documents", schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], columns).write.parquet(f"{at}/{name}.parquet")
+    return at
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "orders"):
         if os.path.exists(f"{D}/{t}.parquet"):
             c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     return c

@@ -386,8 +386,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
         return left
     # of rows that repeat id and text one is kept apart from the others, with partial sums, so no group is gathered
     a, b = text_marks(F.col(text_col))
-    one, two, rest = fresh(docs, "mark_1", "mark_2", "whole_row")
+    one, two, rest, same_id, same_1, same_2 = fresh(docs, "mark_1", "mark_2", "whole_row", "same_id", "same_1", "same_2")
     marked = left.select(*(F.col(c) for c in docs.columns), a.alias(one), b.alias(two))
-    same = F.col(id_col).cast("long").eqNullSafe(twice["doc_id"]) & (F.col(one) == twice["mark1"]) & (F.col(two) == twice["mark2"])
-    repeated = marked.join(twice, same, "left_semi").groupBy(id_col, one, two).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(rest))
+    named = twice.select(F.col("doc_id").alias(same_id), F.col("mark1").alias(same_1), F.col("mark2").alias(same_2))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(same_id)) & (F.col(one) == F.col(same_1)) & (F.col(two) == F.col(same_2))
+    repeated = marked.join(named, same, "left_semi").groupBy(id_col, one, two).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias(rest))
     return without_marked(left, twice, id_col, text_col).unionByName(repeated.select(f"{rest}.*"))

@@ -58,6 +58,23 @@ def _limits(signed: DataFrame) -> dict[int, tuple[int, int]]:
     return {part: (least, top) for part, least, top in found}
 
 
+def _probing(text: Column, limits: dict[int, tuple[int, int]], n_words: int) -> Column:
+    """Of a text the structs (n, h) of its shingle hashes that may meet a signature, n being the number of its shingles.
+
+    A hash goes on where a partition that the text is large enough for has signatures that far; n counts repeats, so it
+    is no less than the set. All is one expression: a filter on a column of it would be pushed below it and hash the text again.
+    """
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        top = F.lit(None).cast("long")
+        for least, last in sorted(limits.values()):
+            top = F.greatest(top, F.when(n >= least, F.lit(last).cast("long")))
+        return bound(top, lambda t: F.transform(F.filter(s, lambda h: h <= t), lambda h: F.struct(n.alias("n"), h.alias("h"))))
+
+    return bound(shingles_native(words(text), n_words), of)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 80, n_words: int = 5, work: Workspace | None = None) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for every document that holds percent of an item's shingles.
 
@@ -82,13 +99,8 @@ def _hits(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_co
     limits = _limits(signed)
     one, two = text_marks(F.col(text_col))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), one.alias("mark1"), two.alias("mark2"), F.col(text_col).alias("text"))
-    sized = texts.select("doc_id", "mark1", "mark2", shingles_native(words(F.col("text")), n_words).alias("s")).withColumn("n", F.size("s"))
-    hashed = sized.select("doc_id", "mark1", "mark2", "n", F.explode("s").alias("h"))
-    # a hash goes on where a partition that the document is large enough for has signatures that far; n counts repeats, so it is no less than the set
-    may = F.lit(False)
-    for least, top in limits.values():
-        may = may | ((F.col("n") >= least) & (F.col("h") <= top))
-    found = hashed.where(may).join(checked(probes, probes.count()), "h").where("n >= least")
+    hashed = texts.select("doc_id", "mark1", "mark2", F.explode(_probing(F.col("text"), limits, n_words)).alias("p")).select("doc_id", "mark1", "mark2", "p.n", "p.h")
+    found = hashed.join(checked(probes, probes.count()), "h").where("n >= least")
     candidates = work.put("candidates", found.groupBy("doc_id", "mark1", "mark2", "item_id", "h").agg(F.count("*").alias("size")).groupBy("doc_id", "mark1", "mark2", "item_id").agg(F.max("size").alias("size")))
 
     # a text is verified once, however many rows have it

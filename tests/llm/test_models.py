@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import warnings
 import zlib
 from collections import Counter
 
@@ -194,9 +195,29 @@ def test_mixing_meets_targets(spark):
         assert abs(value / got[0] - MIX_TARGETS[d]) < 1e-4
 
 
+def active_sets(w, c):
+    """The x >= 0 that minimises |w x - c|, by Lawson and Hanson's active sets."""
+    x, free = np.zeros(w.shape[1]), np.zeros(w.shape[1], bool)
+    while True:
+        pull = np.where(free, -np.inf, w.T @ (c - w @ x))
+        if pull.max() < 1e-10:
+            return x
+        free[pull.argmax()] = True
+        while True:
+            z = np.zeros(len(x))
+            z[free] = np.linalg.lstsq(w[:, free], c, rcond=None)[0]
+            low = free & (z <= 0)
+            if not low.any():
+                break
+            x = x + (z - x) * (x[low] / (x[low] - z[low])).min()
+            free &= x > 1e-13
+            x[~free] = 0.0
+        x = z
+
+
 @pytest.mark.filterwarnings("ignore:the rates did not settle")
 def test_mixing_against_brute_force(spark):
-    """Posteriors by counting words; rates by coordinate descent on the normal equations, where no rates meet the targets."""
+    """Posteriors by counting words; rates by active sets, which end at the minimum, where no rates meet the targets."""
     rng = random.Random(3)
     words = {"a": ["alpha", "apple", "anna"], "b": ["beta", "bread", "bob"], "c": ["corn", "card", "cat"]}
     rows = []
@@ -217,20 +238,31 @@ def test_mixing_against_brute_force(spark):
         p.append([x / sum(e) for x in e])
         n.append(len(own))
     assert all(abs(getattr(r, f"p_{d}") - p[i][j]) < 1e-9 for i, r in enumerate(found) for j, d in enumerate("abc")) and [r.n_tokens for r in found] == n
-    # minimise (b - A x)' M^-1 (b - A x) over x >= 0, M being the Gram matrix, one rate at a time
+    # minimise (b - A x)' M^-1 (b - A x) over x >= 0, M being the Gram matrix
     a = np.array(p).T * np.array(n)
     b = np.array([targets[d] for d in "abc"]) * sum(n)
     inverse = np.linalg.inv((a / np.array(n)) @ a.T)
-    x = np.ones(len(rows))
-    for _ in range(3000):
-        for i in range(len(rows)):
-            x[i] = max(0.0, x[i] + a[:, i] @ inverse @ (b - a @ x) / (a[:, i] @ inverse @ a[:, i]))
+    root = np.linalg.cholesky(inverse).T
+    x = active_sets(root @ a, root @ b)
     loss = lambda y: float((b - a @ y) @ inverse @ (b - a @ y))
     mine = np.array([r.rate for r in found])
     assert mine.min() == 0.0 and -1e-9 < loss(mine) - loss(x) < 1e-3 * loss(np.ones(len(rows)))
     assert np.abs(a @ mine - a @ x).max() < 1e-2 * sum(n)
 
 
+def test_mixing_meets_lopsided_targets(spark):
+    """Targets far from what the rows hold are met in few steps."""
+    docs = spark.createDataFrame([(i, "abc"[i % 3] + " " + "abc"[i * i % 3] + " " + "abc"[i // 7 % 3]) for i in range(90)], DOCS)
+    labels = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(60)], "doc_id long, domain string")
+    targets = {"a": 0.2, "b": 0.2, "c": 0.6}
+    with warnings.catch_warnings():
+        warnings.filterwarnings("error", message="the rates did not settle")
+        rows = mixing.mixing_rates(docs, labels, targets, max_steps=60).collect()
+    assert min(r.rate for r in rows) >= 0
+    for d, share in targets.items():
+        assert abs(sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in rows) / sum(r.n_tokens for r in rows) - share) < 1e-5
+
+
 def test_mixing_tells_what_did_not_settle(spark):
     docs = spark.createDataFrame([(1, "a a b"), (2, "b b a"), (3, "c")], DOCS)
     labels = spark.createDataFrame([(1, "x"), (2, "y")], "doc_id long, domain string")

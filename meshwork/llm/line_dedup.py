@@ -10,6 +10,7 @@ and a key is frequent in one run at most. At the end the runs name the frequent
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meshwork.llm.common import HOT_PARTS, WHITE, Workspace, fresh, raw
+from meshwork.llm.common import HOT_PARTS, WHITE, Workspace, fresh, portions, raw
 
 BLANK = WHITE.encode()
 PAIR_TYPES = "batch int, hi long, lo long, doc long"
@@ -40,8 +41,8 @@ def _pairs(n_batches: int, least_chars: int):
     """(batch, hi, lo, doc) for each distinct key of a row's text with at least least_chars code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data in batches:
-            at, hi, lo, doc = [], [], [], []
+        for data in portions(batches):
+            at, hi, lo, doc = array("i"), array("q"), array("q"), array("q")
             for d, text in zip(data.column(0).to_pylist(), raw(data.column(1)), strict=True):
                 batch = xxhash.xxh3_64_intdigest(text or b"") % n_batches
                 for key in {key_bytes(line) for line in (text or b"").split(b"\n")}:
@@ -78,7 +79,7 @@ class LineRuns:
 
     def frequent(self) -> DataFrame:
         """(hi, lo): keys found in at least least_docs documents. Each is so in one run, so nothing is summed up."""
-        found = self.spark.createDataFrame([], "hi long, lo long")
+        found = self.spark.range(0).select(F.col("id").alias("hi"), F.col("id").alias("lo"))  # local rows would start further Python workers
         for _, run in self.runs():
             found = found.union(run.where(F.col("n") >= self.least_docs).select("hi", "lo"))
         return found
@@ -109,7 +110,7 @@ def _rewrite(text_at: int):
     """Drop from the text in column text_at the lines whose keys stand in the last two columns; append both counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data in batches:
+        for data in portions(batches):
             *own, his, los = data.columns
             texts, n_lines, n_dropped = raw(own[text_at]), [], []
             for i, (hi, lo) in enumerate(zip(his.to_pylist(), los.to_pylist(), strict=True)):

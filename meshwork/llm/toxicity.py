@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshwork.llm.common import Workspace, lean
+from meshwork.llm.common import Workspace, lean, portions
 
 #: Terms for groups of people, by language, kind and number.
 IDENTITY_TERMS = {
@@ -71,7 +71,7 @@ for _terms in IDENTITY_TERMS.values():
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 PREFIXES = range(3, 9)
 #: Entries that a worker keeps of the words it has met.
-CACHE = 400_000
+CACHE = 1 << 17
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 SCORE_TYPES = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -110,13 +110,14 @@ class Model:
     fitted: bool = True
 
     def score(self, words: Iterable[str], known: dict[str, tuple[int, ...]]) -> float:
+        """The score of a text's distinct words or tokens, lower-cased. known keeps of each its features in the model, within bounds, and no further strings."""
         hits: set[int] = set()
         for word in words:
             own = known.get(word)
             if own is None:
                 if len(known) >= CACHE:
                     known.clear()
-                own = known[word] = tuple(f for f in features(word) if f in self.weights)
+                own = known[word] = tuple(f for f in features(plain_word(word)) if f in self.weights)
             if own:
                 hits.update(own)
         z = self.bias + math.fsum(self.weights[f] for f in hits)
@@ -237,7 +238,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, toxic, found, swaps): a text's features, and the changes of each swap in each of its sentences."""
     known: dict[str, str] = {}
     change = pa.struct([("plus", pa.list_(pa.int64())), ("minus", pa.list_(pa.int64()))])
-    for data in batches:
+    for data in portions(batches):
         found, swaps = [], []
         for text in data.column(2).to_pylist():
             found.append(sorted({f for w in plain_words(text or "", known) for f in features(w)}))
@@ -307,10 +308,9 @@ def held_out(id_col: str):
 
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, str] = {}
-        hits: dict[str, tuple[int, ...]] = {}
-        for data in batches:
-            score = [model.score(plain_words(t or "", words), hits) for t in data.column(2).to_pylist()]
+        known: dict[str, tuple[int, ...]] = {}
+        for data in portions(batches):
+            score = [model.score(set((t or "").lower().split()), known) for t in data.column(2).to_pylist()]
             predicted = [int(s >= 0.5) for s in score]
             yield pa.RecordBatch.from_arrays([data.column(0), data.column(1), pa.array(score, pa.float64()), pa.array(predicted, pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -342,9 +342,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, str] = {}
-        hits: dict[str, tuple[int, ...]] = {}
-        for data in batches:
-            yield data.filter(pa.array([model.score(plain_words(t or "", words), hits) < 0.5 for t in data.column(at).to_pylist()], pa.bool_()))
+        known: dict[str, tuple[int, ...]] = {}
+        for data in portions(batches):
+            yield data.filter(pa.array([model.score(set((t or "").lower().split()), known) < 0.5 for t in data.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

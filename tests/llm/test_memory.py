@@ -6,6 +6,7 @@ import pyarrow as pa
 
 from meshwork.llm import line_dedup as L
 from meshwork.llm import toxicity as T
+from meshwork.workspace import Workspace
 
 MB = 1 << 20
 
@@ -38,3 +39,13 @@ def test_pairs_of_a_large_batch_are_made_by_portions():
 
 def test_frequent_lines_start_no_further_python_workers(spark):
     assert "ExistingRDD" not in L.LineRuns(spark, 10).frequent()._jdf.queryExecution().toString()
+
+
+def test_scratch_files_need_no_chmod(spark, tmp_path, monkeypatch):
+    """Checksummed local files come with a chmod process each; plain ones have no .crc beside them."""
+    monkeypatch.setattr("meshwork.workspace.shared_dir", lambda _: f"file://{tmp_path}")
+    work = Workspace(spark, "plain")
+    rows = spark.range(20).selectExpr("id", "id % 2 AS half")
+    put, dealt = work.put("put", rows, "half"), work.buckets("dealt", rows, 2, "id")
+    assert put.count() == dealt.count() == 20 and not list(tmp_path.rglob("*.crc"))
+    work.drop()
